@@ -11,6 +11,7 @@ from marlspring.llm.bpe import bpe_digests
 from marlspring.llm.common import shared_dir, table
 from marlspring.llm.decontamination import decontaminate
 from marlspring.llm.hilbert import document_shards
+from marlspring.llm.language import language_id
 from marlspring.llm.licenses import license_scan
 from marlspring.llm.quality import quality_rules
 from marlspring.llm.token_files import read_token_files, token_crc, write_token_files
@@ -27,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
@@ -50,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_decontamination, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op5_decontamination, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
 
 
 OP2_SQL = r"""
