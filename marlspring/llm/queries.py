@@ -15,6 +15,7 @@ from marlspring.llm.language import language_id
 from marlspring.llm.licenses import license_scan
 from marlspring.llm.quality import quality_rules
 from marlspring.llm.token_files import read_token_files, token_crc, write_token_files
+from marlspring.llm.warc import read_warc, write_warc
 
 #: The end-of-document id of the token files.
 END_ID = 2
@@ -32,6 +33,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
@@ -55,7 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op5_decontamination, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
 
 
 OP2_SQL = r"""
@@ -74,6 +81,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), " + _ABC + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -94,4 +109,4 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}
