@@ -11,6 +11,7 @@ from marlspring.llm.bpe import bpe_digests
 from marlspring.llm.common import shared_dir, table
 from marlspring.llm.decontamination import decontaminate
 from marlspring.llm.hilbert import document_shards
+from marlspring.llm.html import html_text
 from marlspring.llm.language import language_id
 from marlspring.llm.licenses import license_scan
 from marlspring.llm.quality import quality_rules
@@ -43,6 +44,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -62,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op6_html_text, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
 
 
 OP2_SQL = r"""
