@@ -15,6 +15,7 @@ from marlspring.llm.html import html_text
 from marlspring.llm.language import language_id
 from marlspring.llm.licenses import license_scan
 from marlspring.llm.quality import quality_rules
+from marlspring.llm.similarity import jaccard_components
 from marlspring.llm.token_files import read_token_files, token_crc, write_token_files
 from marlspring.llm.warc import read_warc, write_warc
 
@@ -26,6 +27,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
@@ -67,7 +72,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op6_html_text, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op6_html_text, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
 
 
 OP2_SQL = r"""
@@ -94,6 +99,19 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND
 FROM g
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP1_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(""" + _LOWER + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM
+  (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM (SELECT doc_id, w, least(5, len(w)) AS k FROM w WHERE len(w) > 0))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS m FROM r GROUP BY 1) c USING (doc_id)
+"""
+
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), " + _ABC + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -114,4 +132,4 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}
