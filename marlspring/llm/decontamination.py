@@ -173,3 +173,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         "rid",
     )
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that hold no window; a document goes with every row of its id."""
+    hit = decontaminate(documents, benchmark).where("contaminated").select("doc_id").distinct()
+    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")

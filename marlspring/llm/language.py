@@ -34,6 +34,8 @@ FEATURES = 1 << 13
 CALIBRATION_ROWS = 20_000
 #: Loss below which two languages count as too near to tell.
 AMBIGUOUS = 0.15
+#: Score under which the filter drops an ambiguous text.
+DOUBTFUL = 0.5
 #: Log-odds at which a bit is nearly sure.
 SURE = 8.0
 UNKNOWN = "und"
@@ -169,10 +171,11 @@ def _trust(sample: DataFrame, model: Model) -> np.ndarray:
     return above / above.sum(axis=1, keepdims=True) if width else model.trust
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The columns to keep, and lang_pred, score, ambiguous for each row; only the text decides."""
+def predict(docs: DataFrame, model: Model | None, *keep: str, with_text: bool = False) -> DataFrame:
+    """The columns to keep (and the text), and lang_pred, score, ambiguous for each row; only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.col("text").cast("string").alias("text"), *keep)
+    first = 0 if with_text else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -186,9 +189,9 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                     at = lettered[k : k + len(counts)]
                     best, score[at], unsure[at] = m.decode(counts)
                     names[at] = [m.languages[b] for b in best]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], [*part.schema.names[1:], "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns[first:], pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], [*part.schema.names[first:], "lang_pred", "score", "ambiguous"])
 
-    schema = StructType([*kept.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
+    schema = StructType([*kept.schema.fields[first:], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
     return kept.mapInArrow(run, schema)
 
 
@@ -205,7 +208,9 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def language_filter(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose language is known and not ambiguous."""
+    """The documents, with all their columns, whose language is known and not both ambiguous and doubtful."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    kept = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
-    return predict(kept, model, "_row").where(f"lang_pred <> '{UNKNOWN}' AND NOT ambiguous").select("_row.*")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*[F.col(c) for c in others]).alias("_others"))
+    known = predict(rows, model, "_others", with_text=True).where(f"lang_pred <> '{UNKNOWN}' AND NOT (ambiguous AND score < {DOUBTFUL})")
+    return known.select(*[F.col("text") if c == "text" else F.col(f"_others.{c}") for c in docs.columns])

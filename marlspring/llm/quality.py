@@ -52,7 +52,7 @@ def _once(df: DataFrame, **columns: Column | str) -> DataFrame:
 def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, and the columns to keep."""
     low = (1 << _INDEX_BITS) - 1
-    df = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    df = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep if c != "text"])
     df = _once(df, _w=F.array_remove(F.split("text", r"[ \t-\r]+"), ""), _lines=F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
     df = _once(
         df,
@@ -86,7 +86,7 @@ def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         # Marked windows in order: each covers the words up to the next one, three at most.
         F.expr("aggregate(_at, struct(0L AS n, -3 AS last), (s, i) -> struct(s.n + least(3, i - s.last) AS n, i AS last), s -> s.n)").alias("n_repeat_words"),
-        *[F.col(f"_keep_{c}") for c in keep],
+        *[F.col(f"_keep_{c}") for c in keep if c != "text"],
     )
 
 
@@ -111,11 +111,13 @@ def quality_rules(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES)
     judged = _once(base_measures(docs, *keep).withColumn("base_failed", base), failed_rule=failed)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule",
-        *[F.col(f"_keep_{c}").alias(c) for c in keep if c != "doc_id"],
+        *[F.col("text") if c == "text" else F.col(f"_keep_{c}").alias(c) for c in keep],
     )
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their own columns."""
-    flags = quality_rules(docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns])), "_row")
-    return flags.where("kept").select("_row.*")
+    """The documents that pass, with all their own columns (a null text never passes)."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in others]).alias("_others"))
+    kept = quality_rules(rows, "_others", "text").where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_others.{c}") for c in docs.columns])
