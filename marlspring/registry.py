@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from marlspring.plans import catalog  # noqa: F401
+    from marlspring.plans import catalog, retrieval, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -40,4 +40,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["status_counts"](spark, sf_dir)
+    return queries()["hybrid_search"](spark, sf_dir)
