@@ -279,16 +279,16 @@ def adaptive_threshold(spark, sf):
 @register(
     "keyword_filter",
     f"""WITH {CHUNK_HITS}, m AS (SELECT qid, doc_id, chunk_index, len(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'that', 'with') AND contains(lower(content), w))) > 0 AS m FROM ch)
-    SELECT qid, doc_id, chunk_index::BIGINT AS chunk_index FROM (SELECT *, bool_or(m) OVER (PARTITION BY qid) AS some FROM m) WHERE m OR NOT some""",
+    SELECT qid, doc_id, chunk_index::BIGINT AS chunk_index FROM (SELECT *, bool_or(m) OVER (PARTITION BY qid) AS sm FROM m) WHERE m OR NOT sm""",
 )
 def keyword_filter(spark, sf):
     return R.keyword_filter(_chunk_hits(spark, sf), ["the", "and", "that", "with"]).select("qid", "doc_id", "chunk_index")
 
 
-@register("keyword_index", "SELECT p_partkey AS key, sum(CASE WHEN lower(w) = 'steel' THEN 3 WHEN contains(lower(w), 'steel') THEN 1 ELSE 0 END)::BIGINT AS score FROM (SELECT p_partkey, unnest(string_split(p_type, ' ') || string_split(p_name, ' ')) AS w FROM part) GROUP BY 1 HAVING score > 0 ORDER BY 2 DESC, 1 LIMIT 10")
+@register("keyword_index", "SELECT p_partkey AS key, sum(CASE WHEN lower(w) = 'widget' THEN 3 WHEN contains(lower(w), 'widget') THEN 1 ELSE 0 END)::BIGINT AS score FROM (SELECT p_partkey, unnest(string_split(p_type, ' ') || string_split(p_name, ' ')) AS w FROM part) GROUP BY 1 HAVING score > 0 ORDER BY 2 DESC, 1 LIMIT 10")
 def keyword_index(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.explode(F.concat(F.split("p_type", " "), F.split("p_name", " "))).alias("keyword"))
-    return R.keyword_index(p, "steel")
+    return R.keyword_index(p, "widget")
 
 
 @register(
