@@ -88,10 +88,10 @@ def bootstrap(values: DataFrame, group: str, key: str, value: str, replicates: i
     The values of a group are one row for each query, few by nature; they are kept as one array, and
     each replicate draws from it, so nothing is joined to itself.
     """
-    held = values.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))).alias("a"))
-    reps = held.select(group, "a", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    draw = F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.element_at("a", (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), i), F.size("a")) + 1).cast("int"))["v"])
-    mean = F.aggregate(draw, F.lit(0.0), lambda s, v: s + v) / F.size("a")
-    g = reps.select(group, mean.alias("m")).groupBy(group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    held = values.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))).alias("_a"))
+    reps = held.select(group, "_a", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
+    draw = F.transform(F.sequence(F.lit(1), F.size("_a")), lambda i: F.element_at("_a", (F.pmod(F.xxhash64(F.lit(seed), F.col("_rep"), i), F.size("_a")) + 1).cast("int"))["v"])
+    mean = F.aggregate(draw, F.lit(0.0), lambda s, v: s + v) / F.size("_a")
+    g = reps.select(group, mean.alias("_mean")).groupBy(group).agg(F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     point = values.groupBy(group).agg(F.avg(value).alias("mean"))
     return point.join(g, group).select(group, "mean", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))

@@ -128,8 +128,11 @@ class Collection:
 
 
 def read_texts(spark: SparkSession, path: str, min_chars: int = 1, max_bytes: int = 50 << 20) -> DataFrame:
-    """path, text, status of every file of a folder: ok, EMPTY_FILE, TOO_LARGE or NO_TEXT_EXTRACTED; no file stops the read."""
+    """path, text, status of every file of a folder: ok, TOO_LARGE or NO_TEXT_EXTRACTED; no file stops the read.
+
+    Spark's file sources skip files of zero bytes, so those have no row.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     text = F.decode("content", "UTF-8")
-    status = F.when(F.col("length") == 0, "EMPTY_FILE").when(F.col("length") > max_bytes, "TOO_LARGE").when(F.length(F.regexp_replace(text, r"\s+", "")) < min_chars, "NO_TEXT_EXTRACTED").otherwise("ok")
+    status = F.when(F.col("length") > max_bytes, "TOO_LARGE").when(F.length(F.regexp_replace(text, r"\s+", "")) < min_chars, "NO_TEXT_EXTRACTED").otherwise("ok")
     return raw.select("path", status.alias("status"), F.when(status == "ok", text).alias("text"))
