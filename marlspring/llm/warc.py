@@ -62,7 +62,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Writes one record for each row of page_id, url, html."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    size = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()[0] or file_bytes
     marked = mark_revisits(pages)
     urn = "concat('<urn:marlspring:page:', coalesce(cast({} as string), 'null'), '>')"
     http = "concat('HTTP/1.1 200 OK\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ', payload_bytes, '\\r\\n\\r\\n')"
@@ -75,9 +75,8 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
           '\\r\\nContent-Type: application/http; msgtype=response\\r\\nContent-Length: ',
           octet_length({http}) + if(record_type = 'response', payload_bytes, 0), '\\r\\n\\r\\n', {http}, if(record_type = 'response', html, ''))"""
     )
-    files = max(1, math.ceil(total / file_bytes))
-    dealt = marked.repartition(files, F.xxhash64("page_id", "url", "payload_digest")).sortWithinPartitions("page_id")
-    dealt.select(record.alias("value")).write.option("lineSep", END.decode()).text(path)
+    records = max(1, int(file_bytes / size))
+    marked.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 
 def _header(content: bytes, at: int) -> tuple[int, dict[bytes, bytes]] | None:
