@@ -89,7 +89,9 @@ def _places(texts: list[bytes], sizes: list[int], bits: np.ndarray) -> tuple[np.
         at = np.flatnonzero(_in(bits, h)) if len(h) else np.zeros(0, np.int64)
         at = at[who[at] == who[at + k - 1]]
         found.append((who[at], at - ends[who[at]], h[at]))
-    return *(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found)), ends
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), ends
+    return *(np.concatenate(x) for x in zip(*found)), ends
 
 
 def shingle_frequency(docs: DataFrame, sizes: list[int], bits) -> DataFrame:

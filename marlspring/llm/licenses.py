@@ -32,7 +32,7 @@ TEMPLATES = [
     ("gpl-3.0", "licensed under the <<optional: terms of the>> gnu general public license <<optional: as published by the free software foundation>> <<optional: either>> version 3"),
     ("gpl-3.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
     ("lgpl", "licensed under the <<optional: terms of the>> gnu lesser general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 <<optional: 0>>"),
+    ("apache-2.0", "licensed under the <<optional: terms of the>> apache license version 2 <<optional: 0>>"),
     ("apache-2.0", "apache license version 2 0 <<var: 6>> terms and conditions for use reproduction and distribution"),
     ("mit", "<<optional: released>> under the <<optional: terms of the>> mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),

@@ -60,7 +60,7 @@ def test_shards_are_even_and_gapless(documents, odd_texts, empty):
     assert document_shards(empty).count() == 0
 
 
-PAGE = '<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>First  \n part<br><p>Second&nbsp;x &lt;b&gt;</p>{}</article><div class="comments"><p>Nice</p></div><footer>&copy; f</footer></body></html>'
+PAGE = '<html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p><b>First  \n part<br><p>Second&nbsp;x &lt;b&gt;</p>{}</article><div class="comments"><p>Nice</p></div><footer>&copy; f</footer></body></html>'
 
 
 @pytest.fixture
