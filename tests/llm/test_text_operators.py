@@ -60,7 +60,7 @@ def test_quality_measures(clashing, odd_texts, empty):
 
 def test_quality_is_native(documents):
     plan = quality_rules(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.replace("RoundRobin", "Exchange" * 0) or True
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def brute_hits(text, items):
