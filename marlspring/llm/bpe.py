@@ -29,7 +29,7 @@ from marlspring.llm.common import slices, text_of
 #: The pre-tokenizer of byte-level BPE vocabularies, as published with them.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -38,6 +38,9 @@ _MARKS = tuple(".,;:!?")
 _OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+_PRE = regex.compile(PRE_TOKEN)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,6 +50,11 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def crowded(text: str) -> bool:
+    """Whether white space stands beside a space."""
+    return "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE)
+
+
 def pieces(text: str) -> list[str]:
     """Runs of the text whose pre-tokens don't depend on each other: cut before single spaces.
 
@@ -56,7 +64,7 @@ def pieces(text: str) -> list[str]:
         return []
     parts = [" " + p for p in text.split(" ")]
     parts[0] = parts[0][1:]
-    if "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE):
+    if crowded(text):
         joined = [parts[0]]
         for p in parts[1:]:
             if len(p) == 1 or p[1].isspace() or not joined[-1] or joined[-1][-1].isspace():
@@ -67,6 +75,16 @@ def pieces(text: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+def pre_tokens(piece: str) -> list[str]:
+    """The pre-tokens of a piece; a run of letters, with or without a mark behind it, needs no pattern."""
+    body = piece[1:] if piece[0] == " " else piece
+    if body.isalpha():
+        return [piece]
+    if body[-1:] in _MARKS and body[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return _PRE.findall(piece)
+
+
 class Bpe:
     """Vocabulary, merges and added tokens of a byte-level ``tokenizer.json``."""
 
@@ -90,7 +108,6 @@ class Bpe:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.text_of = list(map(str, range(self.size)))
-        self.pre = regex.compile(PRE_TOKEN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, tuple[str, int, bytes]] = {}
 
@@ -134,15 +151,6 @@ class Bpe:
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         return sym[np.argsort(word, kind="stable")], np.append(0, np.cumsum(np.bincount(word, minlength=len(words))))
 
-    def _cut(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece; a run of letters, with or without a mark behind it, needs no pattern."""
-        body = piece[1:] if piece[0] == " " else piece
-        if body.isalpha():
-            return [piece]
-        if body[-1:] in _MARKS and body[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.pre.findall(piece)
-
     def _learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that the cache lacks, all in one batch."""
         new = [p for p in pieces if p not in self.cache]
@@ -151,7 +159,7 @@ class Bpe:
             new = list(pieces)
         if not new:
             return
-        cut = list(map(self._cut, new))
+        cut = list(map(pre_tokens, new))
         place: dict[str, int] = {}
         parts = np.fromiter((place.setdefault(w, len(place)) for w in chain.from_iterable(cut)), dtype=np.int64)
         ids, ends = self.merge([w.encode() for w in place])

@@ -10,12 +10,14 @@ its partner may be larger, the next one's. Where few differences are allowed (th
 whole set is one segment with its one-deletion neighbourhood; a set whose non-empty segments don't
 exceed H (rare) also gives its cheapest shingles, as many as a prefix filter needs.
 
-Candidates are groups of sets with one signature. Equal sets are one node from the start. A task first
-groups the signatures of its own slice and passes one node of each group on, so a signature that a
-third of all documents share crosses the exchange once for each slice. Groups are not expanded into
-pairs: in each round every component is compared with one other of a group, exactly, on the shingles;
-links merge components; what then still stands in one group but in two components is compared in full,
-after bounds on sizes and on folded bitmaps. No link between different components can be missed.
+Candidates are groups of sets with one signature. Equal sets are one node from the start. A slice
+passes a signature's nodes on, but of more than ``SENT`` only the least one and keeps the others as a
+part of the group, so a signature that a third of all documents share crosses the exchange once for
+each slice; groups with the same members become one. In each round every component is compared with
+one other of a group, exactly, on the shingles; links merge components, and groups that are within one
+component are done. Only what still stands in one group but in different components is compared in
+full, block by block inside tasks that let only pairs within bounds on sizes and folded bitmaps out, so
+no link between components can be missed.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing (their component is their own id); a text of under five words is one shingle; copies are
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from marlspring.llm.common import slices, text_of, written
+from marlspring.llm.common import arrow_rows, slices, text_of, written
 from marlspring.llm.components import components
 from marlspring.llm.hashing import mix, runs, word_hashes
 
@@ -46,8 +48,14 @@ NUM, DEN = 75, 100
 BANDS = [1, 6, *(6 * 3**k for k in range(1, 18))]
 #: Counters of the frequency sketch (4 MB, whatever the corpus size), and pieces it is summed in.
 SKETCH, PIECES = 1 << 20, 64
+#: Members of a group that are compared with as many others in one step.
+BLOCK = 256
 #: Rounds in which every component is compared with one other before the rest is compared in full.
 ROUNDS = 2
+#: Bytes of text in a task's slice, and members of one signature that a slice sends on one by one.
+SLICE, SENT = 1_000_000, 8
+#: Rows that a Python task holds at a time; a row may carry two whole sets.
+ARROW_ROWS = 500
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _U = np.uint64
 
@@ -83,8 +91,8 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the hashes by slot, in 2 to 4 slots for each; halves may be folded with exclusive or."""
-    b = max(8, 1 << int(2 * len(h) - 1).bit_length())
+    """Parity of the hashes by slot, in 4 to 8 slots for each; halves may be folded with exclusive or."""
+    b = max(64, 1 << int(4 * len(h) - 1).bit_length())
     return np.packbits((np.bincount((h & _U(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -111,7 +119,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         counts = np.zeros(SKETCH, np.uint32)
         names = ["kind", "doc_id", "n", "key", "bits"]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, at = shingle_sets(part.column(1).to_pylist())
                 counts += np.bincount((h >> _U(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 n = np.diff(at)
@@ -206,54 +214,78 @@ def _runs_of(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sig, key, start, np.diff(np.append(start, len(sig)))
 
 
+def _emitted(sig: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, partial: np.ndarray) -> pa.RecordBatch:
+    """Groups as rows gid, keys, weight, partial. A whole group is known by its keys, and counted once for each signature."""
+    many = np.flatnonzero(length > 1)
+    start, length, partial = start[many], length[many], partial[many]
+    total = np.append(_U(0), np.cumsum(mix(key.astype(_U))))
+    known = mix(total[start + length] - total[start] + length.astype(_U))
+    gid = np.where(partial, sig[start], known & ~_U(1)) if len(many) else np.zeros(0, _U)
+    gid, first, weight = np.unique(gid, return_index=True, return_counts=True)
+    start, length, partial = start[first], length[first], partial[first]
+    ends = np.append(0, np.cumsum(length))
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(start, length)
+    keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[at]))
+    return pa.RecordBatch.from_arrays([pa.array(gid.astype(np.int64)), keys, pa.array(weight.astype(np.int64)), pa.array(partial)], ["gid", "keys", "weight", "partial"])
+
+
 def groups(docs: DataFrame, counts, buckets: int) -> DataFrame:
-    """sig, keys: nodes that share a signature, two or more; a slice's own groups, and groups of the slices' first nodes."""
+    """gid, key, weight: groups of nodes that share a signature, a row for each member.
 
-    def emit(sig: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        many = length > 1
-        inside = np.repeat(many, length)
-        ends = np.append(0, np.cumsum(length[many]))
-        return pa.array(sig[start[many]].astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[inside]))
+    A slice sends the members of a signature on, or, of more than ``SENT`` members, its least one, and
+    keeps those together as a part. A signature with parts is one group by the signature; all others
+    are whole where they meet, and groups with the same members become one, weighted.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text", SLICE):
                 h, at = shingle_sets(part.column(0).to_pylist())
                 key = set_keys(h, at)
                 who, sig = signatures(h, at, counts.value)
-                sig, key, start, length = _runs_of(sig, key[who])
-                local_sig, local_keys = emit(sig, key, start, length)
-                sig, key = sig[start], key[start]
-                bucket = (sig % _U(buckets)).astype(np.int32)
+                sig, key, start, length = _runs_of(sig | _U(1), key[who])
+                hot = length > SENT
+                if hot.any():
+                    held = _emitted(sig, key, start[hot], length[hot], np.ones(hot.sum(), bool))
+                    spread = pa.array(((held.column(0).to_numpy() >> 7) % buckets).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([spread, *held.columns, pa.nulls(len(held), pa.binary())], names)
+                kept = np.ones(len(sig), bool)
+                kept[np.repeat(hot, length)] = False
+                kept[start[hot]] = True
+                sig = sig & ~_U(1) | np.repeat(hot, length).astype(_U)  # the lowest bit marks a part
+                sig, key = sig[kept], key[kept]
+                bucket = ((sig >> _U(1)) % _U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
                 blob = [np.stack([sig[order[cut[b] : cut[b + 1]]].astype(np.int64), key[order[cut[b] : cut[b + 1]]]]).tobytes() for b in full]
                 n = len(full)
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(blob, pa.binary())], names)
-                if len(local_sig):
-                    n = len(local_sig)
-                    spread = pa.array(((local_sig.to_numpy() >> 7) % buckets).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([spread, local_sig, local_keys, pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(blob, pa.binary())], names)
 
-    names = ["bucket", "sig", "keys", "blob"]
+    names = ["bucket", "gid", "keys", "weight", "partial", "blob"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, keys = [], []
         for batch in batches:
             own = batch.filter(pc.is_valid(batch.column(1)))
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2)], ["sig", "keys"])
-            for raw in batch.column(3).drop_null():
+                yield pa.RecordBatch.from_arrays(own.columns[1:5], names[1:5])
+            for raw in batch.column(5).drop_null():
                 both = np.frombuffer(raw.as_buffer(), np.int64).reshape(2, -1)
                 sigs.append(both[0].astype(_U))
                 keys.append(both[1].copy())
         if sigs:
-            sig, key, start, length = _runs_of(np.concatenate(sigs), np.concatenate(keys))
-            yield pa.RecordBatch.from_arrays(list(emit(sig, key, start, length)), ["sig", "keys"])
+            sig, key = np.concatenate(sigs), np.concatenate(keys)
+            parts = np.unique(sig[(sig & _U(1)) == 1])
+            sig, key, start, length = _runs_of(sig | _U(1), key)
+            yield _emitted(sig, key, start, length, np.isin(sig[start], parts))
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, sig long, keys array<long>, blob binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "sig long, keys array<long>")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, gid long, keys array<long>, weight long, partial boolean, blob binary")
+    found = dealt.repartition(buckets, "bucket").mapInArrow(meet, "gid long, keys array<long>, weight long, partial boolean")
+    whole = found.where("NOT partial").groupBy("gid").agg(F.first("keys").alias("keys"), F.sum("weight").alias("weight"))
+    member = whole.select("gid", F.explode("keys").alias("key"), "weight")
+    part = found.where("partial").select("gid", F.explode("keys").alias("key"), "weight").distinct()
+    return member.union(part)
 
 
 def member_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -262,7 +294,7 @@ def member_sets(docs: DataFrame, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, at = shingle_sets(part.column(0).to_pylist())
                 key = set_keys(h, at)
                 low = key.astype(_U) & _U(WANTED - 1)
@@ -323,42 +355,104 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     spark: SparkSession = documents.sparkSession
     docs = text_of(documents)
-    table = written(nodes(docs))
-    counts = spark.sparkContext.broadcast(summed_sketch(table))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = written(groups(docs, counts, buckets))
-    labels = _linked_components(spark, docs, table, grouped)
+    with arrow_rows(spark, ARROW_ROWS):  # everything until the last, narrow join runs within
+        table = written(nodes(docs))
+        counts = spark.sparkContext.broadcast(summed_sketch(table))
+        grouped = written(groups(docs, counts, buckets))
+        labels = _linked_components(spark, docs, table, grouped)
     rows = table.where("kind = 0").select("doc_id", "n", "key").join(labels, "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, grouped: DataFrame) -> DataFrame:
-    """key, root of every node that is linked with another."""
-    members = written(grouped.select("sig", F.explode("keys").alias("key")).distinct())
+def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, members: DataFrame) -> DataFrame:
+    """key, root of every node that is linked with another, from the groups' members (gid, key, weight)."""
     sizes = table.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     known = written(sizes.join(members.select("key").distinct(), "key", "left_semi"))
     sets = written(member_sets(docs, spark.sparkContext.broadcast(wanted_bitmap(known))).join(known.select("key"), "key", "left_semi"))
-    labels = edges = None
+    at, labels, edges = members.withColumn("root", F.col("key")), None, None
     for _ in range(ROUNDS):
-        at = members.withColumn("root", F.col("key")) if labels is None else members.join(labels, "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
         # One node for each component of a group; each component is compared with the least one it meets most.
-        one = at.groupBy("sig", "root").agg(F.min("key").alias("key"))
-        hub = one.groupBy("sig").agg(F.min(F.struct("root", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-        met = one.join(hub, "sig").where("root <> hub.root").groupBy("root", F.col("hub.root").alias("other")).agg(F.count("*").alias("n"), F.min(F.struct("key", F.col("hub.key").alias("to"))).alias("pair"))
+        one = at.groupBy("gid", "root").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+        hub = one.groupBy("gid").agg(F.min(F.struct("root", "key")).alias("hub"))
+        met = one.join(hub, "gid").where("root <> hub.root").groupBy("root", F.col("hub.root").alias("other")).agg(F.sum("weight").alias("n"), F.min(F.struct("key", F.col("hub.key").alias("to"))).alias("pair"))
         best = met.groupBy("root").agg(F.max(F.struct("n", "pair")).alias("m")).select(F.col("m.pair.key").alias("a"), F.col("m.pair.to").alias("b"))
         new = written(verified(_possible(written(best), known), sets))
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
-    at = members.join(labels, "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
-    open_ = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    rest = written(at.join(open_, "sig", "left_semi"))
-    a, b = rest.select("sig", F.col("key").alias("a"), F.col("root").alias("ra")), rest.select("sig", F.col("key").alias("b"), F.col("root").alias("rb"))
-    cross = written(a.join(b, "sig").where("ra < rb").select("a", "b").distinct())
-    new = written(verified(_possible(cross, known), sets))
+        # Groups that are within one component are done; the others' members stay, with their components.
+        labelled = at.select("gid", "key", "weight").join(labels, "key", "left").select("gid", "key", "weight", F.coalesce("root", "key").alias("root"))
+        labelled = written(labelled)
+        open_ = labelled.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
+        at = written(labelled.join(open_, "gid", "left_semi"))
+    new = written(verified(written(_cross_pairs(at, known).distinct()), sets))
     return components(edges.union(new)) if not new.isEmpty() else labels
 
 
+def _cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: pairs of one group but two components (gid, key, root) that sizes and bitmaps don't rule out.
+
+    A group is cut into blocks of about ``BLOCK`` members, and a task compares two blocks at a time as
+    arrays: only pairs that pass leave it, so neither a group nor its pairs are ever gathered.
+    """
+    sizes = members.groupBy("gid").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    rows = members.join(sizes, "gid").join(known, "key").withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    dealt = rows.select("gid", "key", "root", "n", "bits", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("gid", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "root", "n", "bits")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            gid, lo, hi = (table.column(k).to_numpy() for k in range(3))
+            starts = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(gid) else [0]
+            yield _pass(table.slice(0, starts[-1]), starts)
+            held = table.slice(starts[-1]).to_batches()  # the last group may go on
+        if held:
+            table = pa.Table.from_batches(held)
+            yield _pass(table, np.array([0, table.num_rows]))
+
+    keys = ["gid", "lo", "hi"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
+def _pass(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """The pairs of consecutive groups of rows (gid, lo, hi, own, key, root, n, bits) that pass."""
+    lo, hi, own, key, root, n = (table.column(k).to_numpy() for k in range(1, 7))
+    bits = table.column(7).to_pylist()
+    out_a, out_b = [], []
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if e - s < 2:
+            continue
+        order = s + np.argsort(n[s:e], kind="stable")
+        by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in sorted({len(bits[i]) for i in order}):
+            at = np.array([i for i in order if len(bits[i]) == width])
+            by[width] = at, np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1)
+        for width, (at, rows) in by.items():
+            others = [(at, rows, True)]
+            if 2 * width in by:  # linked sets' bitmaps differ by one halving at most
+                wide, full = by[2 * width]
+                half = full.shape[1] // 2
+                others.append((wide, full[:, :half] ^ full[:, half:], False))
+            for to, matrix, same in others:
+                for k, i in enumerate(at.tolist()):
+                    first = k + 1 if same else 0
+                    j = to[first:]
+                    ok = (root[j] != root[i]) & (DEN * np.minimum(n[j], n[i]) >= NUM * np.maximum(n[j], n[i]))
+                    if lo[s] != hi[s]:
+                        ok &= own[j] != own[i]
+                    if ok.any():
+                        j = j[ok]
+                        near_ = np.bitwise_count(matrix[first:][ok] ^ rows[k]).sum(axis=1) <= allowed(n[j], n[i])
+                        out_a.append(np.full(int(near_.sum()), key[i]))
+                        out_b.append(key[j[near_]])
+    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs that sizes and bitmaps don't rule out."""
     left = known.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))

@@ -7,15 +7,15 @@ a reader fetch the pages of a few documents only, or the metadata columns withou
 across files come from one sum for each part, so no task ever sees more than its own range.
 
 Defined results: a null or empty text gives only the end id; rows that repeat a doc_id are documents
-of their own, in the order of their texts (equal ones in any order); a null doc_id sorts first; an
+of their own, in the order of their texts' hashes (equal ones in any order); a null doc_id sorts first; an
 empty table writes no document; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspring.llm.bpe import pieces
+from marlspring.llm.bpe import byte_symbols, crowded, pieces, pre_tokens
 from marlspring.llm.common import environment, slices, text_of
 
 SCHEMA = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
-CACHE_PIECES = 600_000
+#: Pieces and pre-tokens whose ids a worker keeps before it starts anew.
+CACHE_PIECES, CACHE_WORDS = 500_000, 300_000
+
+
+class _Words(dict):
+    """The ids of pre-tokens by the library's model, as bytes."""
+
+    def __init__(self, model):
+        self.model, self.symbols = model, str.maketrans(dict(enumerate(byte_symbols())))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+        self[word] = got
+        return got
+
+
+class _Pieces(dict):
+    """The ids of pieces that follow a space (``before`` = " ") or nothing, as bytes."""
+
+    def __init__(self, words: _Words, before: str):
+        self.words, self.before = words, before
+
+    def __missing__(self, piece: str) -> bytes:
+        parts = pre_tokens(self.before + piece) if self.before or piece else []
+        got = self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[w] for w in parts])
+        self[piece] = got
+        return got
 
 
 class LibraryEncoder:
-    """The tokenizers library over distinct pieces of texts, whose ids a worker keeps (bounded)."""
+    """The tokenizers library over distinct pieces of texts, whose ids a worker keeps (bounded).
+
+    A text is cut into pre-tokens by the byte-level pattern; the library's model encodes each distinct one.
+    """
 
     def __init__(self, path: str):
         environment()
@@ -41,37 +72,24 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self._ids("\n")
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, found: set[str]) -> None:
-        new = [p for p in found if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list(found)
-        # A line end between two pieces is a pre-token of its own, so that many pieces need one call.
-        plain = [p for p in new if len(self.line_end) == 1 and len(p) > 1 and p[0] == " " and not any(c.isspace() for c in p[1:])] if new else []
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            ids = self._ids("\n".join(some))
-            cuts = np.flatnonzero(ids == self.line_end[0])
-            starts, stops = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            if len(starts) == len(some):
-                raw = ids.tobytes()
-                self.cache.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts.tolist(), stops.tolist()))
-        for p in new:
-            if p not in self.cache:
-                self.cache[p] = self._ids(p).tobytes()
+        words = _Words(self.tokenizer.model)
+        self.spaced, self.whole = _Pieces(words, " "), _Pieces(words, "")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [None if t and any(s in t for s in self.specials) else pieces(t or "") for t in texts]
-        self._learn(set(chain.from_iterable(c for c in cut if c)))
-        for t, c in zip(texts, cut):
-            yield self._ids(t).tobytes() if c is None else b"".join(map(self.cache.__getitem__, c))
+        for cache in (self.spaced, self.whole):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        for t in texts:
+            if not t:
+                yield b""
+            elif any(s in t for s in self.specials):
+                yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+            elif crowded(t):
+                yield b"".join(map(self.whole.__getitem__, pieces(t)))
+            else:
+                first, *rest = t.split(" ")
+                yield self.whole[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -97,7 +115,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), rows.column(0), pa.array(n), ids], ["part", "start_in_part", "doc_id", "n_tokens", "ids"])
                 start += int(ends[-1])
 
-    ordered = text_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # The range bounds are sampled from the keys, so no text is one of them.
+    ordered = text_of(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     (
         ordered.mapInArrow(run, SCHEMA)
         .write.option("parquet.enable.dictionary", "true")
