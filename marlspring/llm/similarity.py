@@ -15,9 +15,11 @@ passes a signature's nodes on, but of more than ``SENT`` only the least one and
 part of the group, so a signature that a third of all documents share crosses the exchange once for
 each slice; groups with the same members become one. In each round every component is compared with
 one other of a group, exactly, on the shingles; links merge components, and groups that are within one
-component are done. Only what still stands in one group but in different components is compared in
-full, block by block inside tasks that let only pairs within bounds on sizes and folded bitmaps out, so
-no link between components can be missed.
+component are done. What still stands in one group but in different components is compared block by
+block inside tasks, by bounds on sizes and folded bitmaps: first each set gives only its nearest ones,
+which merges what copies of copies leave apart, then every pair that the bounds let pass and that is
+still in two components, so no link between components can be missed. A pair of several groups is
+compared in the first of them only.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing (their component is their own id); a text of under five words is one shingle; copies are
@@ -50,8 +52,10 @@ BANDS = [1, 6, *(6 * 3**k for k in range(1, 18))]
 SKETCH, PIECES = 1 << 20, 64
 #: Members of a group that are compared with as many others in one step.
 BLOCK = 256
-#: Rounds in which every component is compared with one other before the rest is compared in full.
-ROUNDS = 2
+#: Rounds in which every component is compared with one other of a group, then with its nearest ones, before the rest is compared in full.
+ROUNDS = ("hub", "nearest")
+#: Nearest sets that a set is compared with in such a round, and groups that a member's row names (more only cost repeated pairs).
+NEAREST, NAMED = 3, 64
 #: Bytes of text in a task's slice, and members of one signature that a slice sends on one by one.
 SLICE, SENT = 1_000_000, 8
 #: Rows that a Python task holds at a time; a row may carry two whole sets.
@@ -372,13 +376,9 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
     known = written(sizes.join(members.select("key").distinct(), "key", "left_semi"))
     sets = written(member_sets(docs, spark.sparkContext.broadcast(wanted_bitmap(known))).join(known.select("key"), "key", "left_semi"))
     at, labels, edges = members.withColumn("root", F.col("key")), None, None
-    for _ in range(ROUNDS):
-        # One node for each component of a group; each component is compared with the least one it meets most.
-        one = at.groupBy("gid", "root").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
-        hub = one.groupBy("gid").agg(F.min(F.struct("root", "key")).alias("hub"))
-        met = one.join(hub, "gid").where("root <> hub.root").groupBy("root", F.col("hub.root").alias("other")).agg(F.sum("weight").alias("n"), F.min(F.struct("key", F.col("hub.key").alias("to"))).alias("pair"))
-        best = met.groupBy("root").agg(F.max(F.struct("n", "pair")).alias("m")).select(F.col("m.pair.key").alias("a"), F.col("m.pair.to").alias("b"))
-        new = written(verified(_possible(written(best), known), sets))
+    for kind in ROUNDS:
+        pairs = _possible(written(_hub_pairs(at)), known) if kind == "hub" else _nearest(_cross_pairs(at, known, nearest=True))
+        new = written(verified(pairs, sets))
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         # Groups that are within one component are done; the others' members stay, with their components.
@@ -386,20 +386,38 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
         labelled = written(labelled)
         open_ = labelled.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
         at = written(labelled.join(open_, "gid", "left_semi"))
-    new = written(verified(written(_cross_pairs(at, known).distinct()), sets))
+    new = written(verified(written(_cross_pairs(at, known).select("a", "b").distinct()), sets))
     return components(edges.union(new)) if not new.isEmpty() else labels
 
 
-def _cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b: pairs of one group but two components (gid, key, root) that sizes and bitmaps don't rule out.
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """a, b: one node of each component of a group, and one of the least component that it meets most (gid, key, weight, root)."""
+    one = members.groupBy("gid", "root").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+    hub = one.groupBy("gid").agg(F.min(F.struct("root", "key")).alias("hub"))
+    met = one.join(hub, "gid").where("root <> hub.root").groupBy("root", F.col("hub.root").alias("other")).agg(F.sum("weight").alias("n"), F.min(F.struct("key", F.col("hub.key").alias("to"))).alias("pair"))
+    return met.groupBy("root").agg(F.max(F.struct("n", "pair")).alias("m")).select(F.col("m.pair.key").alias("a"), F.col("m.pair.to").alias("b"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """a, b: of each node's pairs (a, b, apart) the ``NEAREST`` least apart."""
+    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, NEAREST).alias("m"))
+    return written(best.select("a", F.explode("m.b").alias("b")))
+
+
+def _cross_pairs(members: DataFrame, known: DataFrame, nearest: bool = False) -> DataFrame:
+    """a, b, apart: pairs of one group but two components (gid, key, root) that sizes and bitmaps don't rule out.
 
     A group is cut into blocks of about ``BLOCK`` members, and a task compares two blocks at a time as
-    arrays: only pairs that pass leave it, so neither a group nor its pairs are ever gathered.
+    arrays: only pairs that pass leave it (``nearest``: a member's nearest in the other block), so
+    neither a group nor its pairs are ever gathered. A member names its first groups; a pair that
+    shares an earlier one is left to that.
     """
     sizes = members.groupBy("gid").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    rows = members.join(sizes, "gid").join(known, "key").withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
-    dealt = rows.select("gid", "key", "root", "n", "bits", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("gid", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "root", "n", "bits")
+    named = members.groupBy("key").agg(F.expr(f"slice(array_sort(collect_list(gid)), 1, {NAMED})").alias("named"))
+    rows = members.join(sizes, "gid").join(written(known.join(named, "key")), "key").withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    earlier = F.expr("filter(named, g -> g < gid)").alias("named")
+    dealt = rows.select("gid", "key", "root", "n", "bits", earlier, "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("gid", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "root", "n", "bits", "named")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -407,24 +425,33 @@ def _cross_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([*held, batch])
             gid, lo, hi = (table.column(k).to_numpy() for k in range(3))
             starts = np.flatnonzero(np.append(True, (gid[1:] != gid[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(gid) else [0]
-            yield _pass(table.slice(0, starts[-1]), starts)
+            yield _pass(table.slice(0, starts[-1]), starts, nearest)
             held = table.slice(starts[-1]).to_batches()  # the last group may go on
         if held:
             table = pa.Table.from_batches(held)
-            yield _pass(table, np.array([0, table.num_rows]))
+            yield _pass(table, np.array([0, table.num_rows]), nearest)
 
     keys = ["gid", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, apart int")
+
+
+def _masks(named: pa.ListArray) -> np.ndarray:
+    """A row of bits for each list: which of the lists' distinct groups it names."""
+    at, groups = np.unique(named.flatten().to_numpy(), return_inverse=True)
+    bits = np.zeros((len(named), 64 * max(1, -(-len(at) // 64))), bool)
+    bits[np.repeat(np.arange(len(named)), pc.list_value_length(named).to_numpy(zero_copy_only=False)), groups] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _pass(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    """The pairs of consecutive groups of rows (gid, lo, hi, own, key, root, n, bits) that pass."""
+def _pass(table: pa.Table, starts: np.ndarray, nearest: bool) -> pa.RecordBatch:
+    """The pairs of consecutive groups of rows (gid, lo, hi, own, key, root, n, bits, named) that pass."""
     lo, hi, own, key, root, n = (table.column(k).to_numpy() for k in range(1, 7))
-    bits = table.column(7).to_pylist()
-    out_a, out_b = [], []
+    bits, named = table.column(7).to_pylist(), table.column(8).combine_chunks()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if e - s < 2:
+        if e - s < 2 or (root[s:e] == root[s]).all():
             continue
+        mask = _masks(named.slice(s, e - s))
         order = s + np.argsort(n[s:e], kind="stable")
         by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for width in sorted({len(bits[i]) for i in order}):
@@ -439,18 +466,24 @@ def _pass(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             for to, matrix, same in others:
                 for k, i in enumerate(at.tolist()):
                     first = k + 1 if same else 0
-                    j = to[first:]
+                    last = np.searchsorted(n[to], n[i] * DEN // NUM, side="right")  # rows are in the order of sizes
+                    j = to[first:last]
                     ok = (root[j] != root[i]) & (DEN * np.minimum(n[j], n[i]) >= NUM * np.maximum(n[j], n[i]))
                     if lo[s] != hi[s]:
                         ok &= own[j] != own[i]
-                    if ok.any():
+                    ok = np.flatnonzero(ok)
+                    ok = ok[~(mask[j[ok] - s] & mask[i - s]).any(axis=1)]
+                    if len(ok):
                         j = j[ok]
-                        near_ = np.bitwise_count(matrix[first:][ok] ^ rows[k]).sum(axis=1) <= allowed(n[j], n[i])
-                        out_a.append(np.full(int(near_.sum()), key[i]))
-                        out_b.append(key[j[near_]])
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                        apart = np.bitwise_count(matrix[first:last][ok] ^ rows[k]).sum(axis=1, dtype=np.int32)
+                        near_ = np.flatnonzero(apart <= allowed(n[j], n[i]))
+                        if nearest and len(near_):
+                            near_ = near_[[apart[near_].argmin()]]
+                        out.append((np.full(len(near_), key[i]), key[j[near_]], apart[near_]))
+    a, b, apart = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    if not nearest:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart)], ["a", "b", "apart"])
 
 
 def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:

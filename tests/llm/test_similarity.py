@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from marlspring.llm import similarity
 from marlspring.llm.components import components
 from marlspring.llm.similarity import BANDS, allowed, bitmap, bits_differ, jaccard_components, shingle_sets, signatures
 
@@ -79,3 +80,31 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (20, 21), (22, 21), (22, 20), (5, 5), (100, 101)] + [(200 + k, 201 + k) for k in range(30)]
     found = {r.key: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, 22: 20, 100: 100, 101: 100} | {200 + k: 200 for k in range(31)}
+
+
+def test_near_copies_over_many_blocks(spark, monkeypatch):
+    """Copies of one base that are linked with few others, in groups of many small blocks."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for k in range(120):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            text[rng.randrange(90)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute(rows)
+    assert got(jaccard_components(df)) == expected
+    monkeypatch.setattr(similarity, "NAMED", 1)
+    monkeypatch.setattr(similarity, "ROUNDS", ("nearest",))
+    assert got(jaccard_components(df)) == expected
+
+
+def test_members_are_compared_in_their_first_group_only(spark):
+    """Of pairs that share two groups and lie in two components, each comes out once."""
+    sets = {k: np.unique(np.random.default_rng(9).integers(0, 1 << 63, 60).astype(np.uint64)[k:]) for k in range(6)}
+    known = spark.createDataFrame([(k, len(h), bytearray(bitmap(h))) for k, h in sets.items()], "key long, n long, bits binary")
+    members = spark.createDataFrame([(g, k, k) for g in (3, 7) for k in sets], "gid long, key long, root long")
+    found = [(r.a, r.b) for r in similarity._cross_pairs(members, known).collect()]
+    assert sorted(found) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
