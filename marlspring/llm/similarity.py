@@ -51,7 +51,7 @@ BANDS = [1, 6, *(6 * 3**k for k in range(1, 18))]
 #: Counters of the frequency sketch (4 MB, whatever the corpus size), and pieces it is summed in.
 SKETCH, PIECES = 1 << 20, 64
 #: Members of a group that are compared with as many others in one step.
-BLOCK = 256
+BLOCK = 1024
 #: Rounds in which every component is compared with one other of a group, then with its nearest ones, before the rest is compared in full.
 ROUNDS = ("hub", "nearest")
 #: Nearest sets that a set is compared with in such a round, and groups that a member's row names (more only cost repeated pairs).
@@ -377,8 +377,11 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
     sets = written(member_sets(docs, spark.sparkContext.broadcast(wanted_bitmap(known))).join(known.select("key"), "key", "left_semi"))
     at, labels, edges = members.withColumn("root", F.col("key")), None, None
     for kind in ROUNDS:
-        pairs = _possible(written(_hub_pairs(at)), known) if kind == "hub" else _nearest(_cross_pairs(at, known, nearest=True))
-        new = written(verified(pairs, sets))
+        if kind == "hub":
+            new = written(verified(_possible(written(_hub_pairs(at)), known), sets))
+        else:
+            pairs = _nearest(_cross_pairs(at, known, nearest=True))
+            new = written(verified(pairs, _of_pairs(sets, pairs)))
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         # Groups that are within one component are done; the others' members stay, with their components.
@@ -386,7 +389,8 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
         labelled = written(labelled)
         open_ = labelled.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
         at = written(labelled.join(open_, "gid", "left_semi"))
-    new = written(verified(written(_cross_pairs(at, known).select("a", "b").distinct()), sets))
+    pairs = written(_cross_pairs(at, known).select("a", "b").distinct())
+    new = written(verified(pairs, _of_pairs(sets, pairs)))
     return components(edges.union(new)) if not new.isEmpty() else labels
 
 
@@ -398,6 +402,11 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return met.groupBy("root").agg(F.max(F.struct("n", "pair")).alias("m")).select(F.col("m.pair.key").alias("a"), F.col("m.pair.to").alias("b"))
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that pairs name, written: where pairs are few, all sets would cross two exchanges for them."""
+    return written(sets.join(written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()), "key", "left_semi"))
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """a, b: of each node's pairs (a, b, apart) the ``NEAREST`` least apart."""
     best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, NEAREST).alias("m"))
