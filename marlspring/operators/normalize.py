@@ -117,7 +117,12 @@ def candidate_score(rows: DataFrame, text: str, weights: dict[str, int], hard: s
 
 
 def pick_diverse(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
-    """group, pos, key chosen one by one by base + 2 * new tags - repeated tags (rows: base, tags); a group is a short candidate list."""
+    """group, pos, key chosen one by one by base + 2 * new tags - repeated tags (rows: base, tags).
+
+    Of rows with one base and one set of tags only the k least keys can be picked, so only they are gathered by group.
+    """
+    alike = Window.partitionBy(group, "base", F.array_sort(F.array_distinct("tags"))).orderBy(key)
+    rows = rows.withColumn("_k", F.row_number().over(alike)).where(F.col("_k") <= k).select(group, key, "base", "tags")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         left, seen, out = {r[key]: (r["base"], set(r["tags"])) for _, r in g.iterrows()}, set(), []

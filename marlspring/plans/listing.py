@@ -178,7 +178,7 @@ def token_windows(spark, sf):
 
 @register("mojibake_repair")
 def mojibake_repair(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.decode(F.encode(F.left("text", F.lit(60)), "UTF-8"), "ISO-8859-1").alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
     return G.repair_mojibake(d, "doc_id", "text")
 
 

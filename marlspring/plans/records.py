@@ -114,8 +114,8 @@ def merged_records(spark, sf):
 
 @register("best_match")
 def best_match(spark, sf):
-    s = table(spark, sf, "customer").where("c_custkey < 600").select("c_custkey", "c_name")
-    return E.best_match(s.where("c_custkey % 3 = 0"), s.where("c_custkey % 3 = 1"), F.substring("c_name", 1, 17), "c_name", "c_custkey", 0.9).withColumn("ratio", q6(F.col("ratio")))
+    s = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return E.best_match(s, s, F.substring("c_name", 1, 17), "c_name", "c_custkey", 0.9).withColumn("ratio", q6(F.col("ratio")))
 
 
 WEIGHTS = {"ring": 12, "small": 9, "red": 6, "bolt": 3}
@@ -133,7 +133,7 @@ def candidate_scores(spark, sf):
 
 @register("diverse_picks")
 def diverse_picks(spark, sf):
-    p = table(spark, sf, "part").where("p_size = 7").select("p_type", "p_partkey", (F.col("p_size") % 5).alias("base"), F.split("p_name", " ").alias("tags"))
+    p = table(spark, sf, "part").select("p_type", "p_partkey", (F.col("p_size") % 5).alias("base"), F.split("p_name", " ").alias("tags"))
     return E.pick_diverse(p, "p_type", "p_partkey", 5)
 
 
