@@ -8,7 +8,8 @@ Reading: a task looks at its archives in blocks and emits, for each place that l
 start, the offset and that of the successor its length points to. Magic inside a payload also yields
 such candidates. Within a block the candidates are followed up to the first offset outside; pointer
 jumping over those block exits (each round doubles the distance) tells which blocks the chain from the
-file's start enters and where, and only candidates on the chain from there are records. Candidates
+file's start enters and where, and only candidates on the chain from there are records. A header may be as
+long as its archive; a file whose chain doesn't reach its end is an error. Candidates
 carry no payload, blocks bound every group, and rounds grow with the logarithm of an archive's blocks.
 
 Defined results: null html is an empty payload; null and control characters of a url are replaced in
@@ -35,8 +36,6 @@ MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 REVISIT_BYTES = 1000
 FILE_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
-#: Longest record header that a reader looks through.
-HEADER_BYTES = 1 << 16
 DATE = "2026-01-01T00:00:00Z"
 _FIELD = re.compile(rb"^([A-Za-z-]+): *(.*?)\r?$", re.M)
 
@@ -79,12 +78,24 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
     marked.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 
-def _header(content: bytes, at: int) -> tuple[int, dict[bytes, bytes]] | None:
-    """(offset behind the header, its fields) if a header stands at an offset."""
-    stop = content.find(END, at, at + HEADER_BYTES)
-    if stop < 0:
-        return None
-    return stop + len(END), {k.lower(): v for k, v in _FIELD.findall(content[at + len(MAGIC) : stop])}
+class _Headers:
+    """The headers of one archive, looked up at rising offsets; each byte is searched once, however long a header is."""
+
+    def __init__(self, content: bytes):
+        self.content, self.stop, self.fields = content, -1, {}
+
+    def at(self, at: int) -> tuple[int, dict[bytes, bytes]] | None:
+        """(offset behind the header, its fields) if a header stands at an offset."""
+        begin = at + len(MAGIC)
+        if self.stop < at:
+            self.stop = self.content.find(END, at)
+            if self.stop < 0:
+                self.stop = len(self.content)
+            # Of a repeated field the last one counts, so headers with one end share these.
+            self.fields = {m[1].lower(): (m.start(), m[2]) for m in _FIELD.finditer(self.content, begin, self.stop)}
+        if self.stop == len(self.content):
+            return None
+        return self.stop + len(END), {k: v for k, (where, v) in self.fields.items() if where >= begin}
 
 
 def _id(urn: bytes | None) -> int | None:
@@ -93,19 +104,19 @@ def _id(urn: bytes | None) -> int | None:
 
 
 FIELDS = [
-    ("file", pa.string()), ("block", pa.int64()), ("off", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
+    ("file", pa.string()), ("size", pa.int64()), ("block", pa.int64()), ("off", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
     ("payload_at", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_()),
 ]
-SCHEMA = "file string, block long, off long, next long, leaves long, page_id long, url string, payload_at long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
+SCHEMA = "file string, size long, block long, off long, next long, leaves long, page_id long, url string, payload_at long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
 
 def candidates(spark: SparkSession, path: str, block: int = BLOCK_BYTES) -> DataFrame:
     """Every place of the archives that looks like a record, with its successor and where its chain leaves the block."""
 
-    def look(file: str, content: bytes, begin: int) -> list[tuple]:
+    def look(file: str, content: bytes, begin: int, headers: _Headers) -> list[tuple]:
         found, stop, at = [], min(len(content), begin + block), begin
         while (at := content.find(MAGIC, at, stop + len(MAGIC) - 1)) >= 0:
-            head = _header(content, at)
+            head = headers.at(at)
             if head and head[1].get(b"content-length", b"").isdigit():
                 body, fields = head
                 end = body + int(fields[b"content-length"])
@@ -118,19 +129,22 @@ def candidates(spark: SparkSession, path: str, block: int = BLOCK_BYTES) -> Data
                     digest = hashlib.sha1(content[inner:end]).hexdigest() if kind == "response" else told
                     size = end - inner if kind == "response" else int(length[1]) if length else None
                     url = fields.get(b"warc-target-uri", b"").decode("utf-8", "replace")
-                    found.append([file, begin // block, at, end + len(END), 0, _id(fields.get(b"warc-record-id")), url, inner, size, digest, kind, _id(fields.get(b"warc-refers-to")), digest == told])
+                    found.append([file, len(content), begin // block, at, end + len(END), 0, _id(fields.get(b"warc-record-id")), url, inner, size, digest, kind, _id(fields.get(b"warc-refers-to")), digest == told])
             at += 1
         leaves: dict[int, int] = {}
         for r in reversed(found):
-            r[4] = leaves[r[2]] = leaves.get(r[3], r[3])
+            r[5] = leaves[r[3]] = leaves.get(r[4], r[4])
+        if begin == 0 and (not found or found[0][3] != 0):
+            raise ValueError(f"{file}: no record at the start")
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 name, raw = file.as_py(), content.as_py()
+                headers = _Headers(raw)
                 for begin in range(0, len(raw), block):
-                    rows = look(name, raw, begin)
+                    rows = look(name, raw, begin, headers)
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), FIELDS)], [n for n, _ in FIELDS])
 
@@ -152,6 +166,10 @@ def reachable(found: DataFrame) -> DataFrame:
         reached = written(reached.union(step).distinct())
         further = jump.select("file", F.col("off").alias("to"), F.col("to").alias("beyond"))
         jump = written(jump.join(further, ["file", "to"]).select("file", "off", F.col("beyond").alias("to")))
+    # A chain that is whole leaves its last block at the file's end.
+    ends = found.select("file", F.col("size").alias("off")).distinct()
+    if broken := ends.join(reached, ["file", "off"], "left_anti").select("file").first():
+        raise ValueError(f"{broken.file}: the chain of records doesn't reach the file's end")
     entered = found.join(reached.withColumn("entry", F.lit(True)), ["file", "off"], "left")
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:

@@ -100,6 +100,26 @@ def test_magic_inside_a_payload_is_no_record(spark, pages, block):
     assert ids == sorted(r.page_id for r in pages.collect())
 
 
+def test_header_as_long_as_its_url(spark, pages):
+    long = spark.createDataFrame([(70, "data:text/html," + "x" * 100_000, "<p>long</p>"), (71, " " * 50_000 + "WARC/1.1", "after")], "page_id long, url string, html string")
+    path, all_ = shared_dir(spark), pages.select("page_id", "url", "html").union(long)
+    write_warc(all_.coalesce(1), path, 1 << 20)
+    rows = {r.page_id: r for r in read_warc(spark, path).collect()}
+    assert rows.keys() == {r.page_id for r in all_.collect()} and rows[70].url == "data:text/html," + "x" * 100_000
+    assert all(r.intact for r in rows.values())
+
+
+def test_broken_chain_is_an_error(spark, tmp_path):
+    from marlspring.llm.warc import END
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:marlspring:page:1>\r\nContent-Length: 5\r\n\r\nhello" + END
+    for name, content in (("tail", record + b"WARC/1.1\r\nContent-Length: 9\r\n\r\nhello" + END), ("start", b"x" + record), ("none", b"nothing")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(content)
+        with pytest.raises(Exception, match="record"):
+            read_warc(spark, str(tmp_path / name)).collect()
+
+
 def test_warc_of_no_pages(spark, pages):
     path = shared_dir(spark)
     write_warc(pages.limit(0), path)
