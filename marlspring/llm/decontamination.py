@@ -12,12 +12,14 @@ that share a prefix place are one row, so a place gives one candidate for each i
 splits the key. Rows of a document meet again only as intervals.
 
 Defined results: null and empty texts have no words and no hits; an item without words or without
-an id takes no part; a repeated item counts once; overlapping hits count a word once; rows that repeat
+an id takes no part; a repeated item counts once, and texts that share an item_id are all searched and
+count as one item; overlapping hits count a word once; rows that repeat
 a doc_id are documents of their own; an empty benchmark hits nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +47,7 @@ def fold(text: str | None) -> bytes:
 
 
 def benchmark_shingles(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Each shingle of each window: item_id, w_lo (the window's start), p (the shingle's start), h, k, words of the window."""
+    """Each shingle of each window: item_id, t (a digest of the item's words), s (the window's start), p (the shingle's start), h, k, words of the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,13 +58,14 @@ def benchmark_shingles(benchmark: DataFrame, window: int = WINDOW, shingle: int
                     continue
                 n, k = min(window, len(words)), min(shingle, len(words))
                 h = runs(word_hashes([b" ".join(words)])[0], k).astype(np.int64).tolist()
+                t = hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest()
                 names = [w.decode() for w in words]
-                out += [(item, s, p, h[p], k, names[s : s + n]) for s in range(len(words) - n + 1) for p in range(s, s + n - k + 1)]
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["item_id", "s", "p", "h", "k", "words"])
+                out += [(item, t, s, p, h[p], k, names[s : s + n]) for s in range(len(words) - n + 1) for p in range(s, s + n - k + 1)]
+            cols = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["item_id", "t", "s", "p", "h", "k", "words"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id long, s int, p int, h long, k int, words array<string>")
+    return items.mapInArrow(run, "item_id long, t string, s int, p int, h long, k int, words array<string>")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -147,11 +150,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     sizes = sorted(r.k for r in bench.select("k").distinct().collect())  # at most `shingle` values
     share = spark.sparkContext.broadcast
     frequency = shingle_frequency(docs, sizes, share(bitmap(bench)))
-    # The window's rarest shingle; windows of an item with the same one at the same place are one row.
-    ranked = bench.join(frequency, "h", "left").groupBy("item_id", "s").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "p", "words")).alias("r"))
+    # The window's rarest shingle; windows of an item's text with the same one at the same place are one row.
+    ranked = bench.join(frequency, "h", "left").groupBy("item_id", "t", "s").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "p", "words")).alias("r"))
     prefixes = written(
-        ranked.select("item_id", F.col("r.h").alias("h"), F.col("r.p").alias("p"), F.struct("s", F.col("r.words").alias("words")).alias("w"))
-        .groupBy("item_id", "h", "p")
+        ranked.select("item_id", "t", F.col("r.h").alias("h"), F.col("r.p").alias("p"), F.struct("s", F.col("r.words").alias("words")).alias("w"))
+        .groupBy("item_id", "t", "h", "p")
         .agg(F.collect_set("w").alias("windows"))
     )
     found = written(prefix_places(docs, sizes, share(bitmap(prefixes)), window))

@@ -90,6 +90,14 @@ def test_decontamination_equals_brute_force(spark, documents, odd_texts, empty):
     assert clean.columns == documents.columns and {r.doc_id for r in clean.collect()} == {k for k, v in rows.items() if not v[4]}
 
 
+def test_decontamination_searches_every_text_of_an_item_id(spark, documents, odd_texts):
+    a, b = odd_texts[9].split(), odd_texts[8].split()
+    items = [(1, " ".join(a[5:30])), (1, " ".join(b[100:150])), (1, " ".join(b[300:311])), (2, "one two three"), (2, " ".join(a[:10])), (2, "one two three")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate(documents, bench).collect()}
+    assert rows == {k: brute_hits(t, items) for k, t in enumerate(odd_texts)}
+
+
 def test_license_scan(spark, documents, odd_texts, empty):
     said = {900: "This work is licensed under the GNU General Public License, version 3.", 901: "x MIT License y mit-license", 902: "Licensed under CC BY-NC 4.0.", 903: "cc by", 904: "Licensed under the terms of the Apache License, Version 2.0"}
     rows = documents.select("doc_id", "text").union(spark.createDataFrame(list(said.items()), "doc_id long, text string"))
