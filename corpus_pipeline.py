@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each an operator of ``marlspring.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read back
-as the next stage's input. The first four keep the columns of the documents that stay.
+as the next stage's input. The first four keep the columns of the documents that stay. What stays is decided for each row: rows
+without an id or with one that others have too are documents of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspring.llm.bpe import bpe_digests
-from marlspring.llm.common import shared_dir, table
+from marlspring.llm.common import numbered, shared_dir, table
 from marlspring.llm.decontamination import decontaminated
 from marlspring.llm.language import language_filter
 from marlspring.llm.quality import quality_filter
@@ -34,16 +35,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the least doc_id."""
-    found = jaccard_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id stands on several rows."""
-    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    """One document of each component of near copies: that with the least doc_id, a null one last."""
+    rows, number = numbered(docs)
+    found = jaccard_components(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias(number), "component_id")
+    # Rows that repeat an id stand apart by their numbers.
+    order = rows.select(number, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", number).alias("_order"))
+    stay = found.join(order, number).groupBy("component_id").agg(F.min("_order").alias("_order")).select(F.col(f"_order.{number}").alias(number))
+    return rows.join(stay, number, "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame, written with a number of its own for each row, and the name of that column."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return written(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within the block, actions hand Python tasks at most so many rows at a time (long rows, bounded memory)."""

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspring.llm.common import slices, text_of, written
+from marlspring.llm.common import numbered, slices, text_of, written
 from marlspring.llm.hashing import runs, word_hashes
 
 #: Words of a window and of a shingle.
@@ -181,6 +181,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no window; a document goes with every row of its id."""
-    hit = decontaminate(documents, benchmark).where("contaminated").select("doc_id").distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents, with all their columns, that hold no window; rows that share an id, or have none, are judged one by one."""
+    rows, number = numbered(documents)
+    hit = decontaminate(rows.select(F.col(number).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(number))
+    return rows.join(hit, number, "left_anti").select(*documents.columns)
