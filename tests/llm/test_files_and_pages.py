@@ -152,6 +152,26 @@ def test_pages_without_a_wrapper(html, text):
     assert main_text(html, None) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="overflow-hidden"><article><p>x</p></article></div>', "x"),
+        ('<div aria-hidden="false"><article><p>x</p></article></div>', "x"),
+        ('<div class="header-fixed"><p>top</p><article><p>x</p></article></div>', "x"),
+        ('<div id="has-cookie-banner"><main><p>x</p></main></div>', "x"),
+        ('<div class="sidebar"><div class="no-comments"><article><p>x</p></article></div></div>', "x"),
+        ('<div hidden><p>no</p></div><p hidden="">no</p><p data-x="hidden" class="hidden-no">yes</p>', "yes"),
+        ('<article><section id="related-work"><h2 id="search-results">h</h2><p id="alert-1">p</p></section><div class="overflow-hidden">d</div></article>', "h\n\np\n\nd"),
+        ('<article><div class="section" id="search"><p>s</p></div><div id="comments"><p>no</p></div><div class="Share x">no</div></article>', "s"),
+        ('<main><p>x</p></main><div class="related"><article><p>other</p></article></div>', "x"),
+        ('<article id="how-to-share-comments" class="post related-posts"><p>x</p></article>', "x"),
+    ],
+)
+def test_marks_are_whole_tokens_and_frames_keep_their_article(html, text):
+    assert main_text(html, None) == text
+    assert main_text(html, infer([html])) == text
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     w = infer([PAGE.format("<p>x</p>" * k) + ("<div>tail</div>" if k % 2 else "") for k in range(4)])
     assert "(<p>#</>)+" in w["expression"] and "?" in w["expression"] and w["roles"]["article/p"] == "main" and w["article"]
