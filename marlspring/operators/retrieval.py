@@ -19,10 +19,19 @@ def top_k(hits: DataFrame, k: int, score: str = "score", part: str = "qid", tie:
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a generator of one row, so that each is computed once, however often it is used above."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _terms(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, distinct n, term, tf) of the queries' terms in documents, and (qid, n_terms, term)."""
+    """(doc_id, n, distinct n, term, tf) of the queries' terms in documents, and (qid, n_terms, term).
+
+    A document's tokens are cut and counted once, before they are exploded: work is linear in the text.
+    """
     asked = queries.select("qid", F.array_distinct(tokens(F.col("question"))).alias("t")).select("qid", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct"), F.explode("t").alias("term"))
+    cut = once(docs.select("doc_id", "text"), t=tokens(F.col("text"))).select("doc_id", "t")
+    held = once(cut, n=F.size("t"), n_distinct=F.size(F.array_distinct("t"))).select("doc_id", "n", "n_distinct", F.explode("t").alias("term"))
     kept = held.join(asked.select("term").distinct(), "term", "left_semi")
     return kept.groupBy("doc_id", "n", "n_distinct", "term").agg(F.count("*").alias("tf")), asked
 
@@ -31,7 +40,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, doc_id, score of every document that shares a term with a query (Okapi, idf never negative)."""
     tf, asked = _terms(docs, queries)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    whole = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("all"), F.avg("n").alias("avg_n"))
+    whole = docs.select(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+")).alias("n")).agg(F.count("*").alias("all"), F.avg("n").alias("avg_n"))
     idf = F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(whole)).select("doc_id", "term", weight.alias("w"))  # whole is one row

@@ -84,13 +84,11 @@ def fusion_scores(spark, sf):
     SELECT floor(alpha * 10 + 0.5)::BIGINT AS alpha10, count(*) AS n, sum(s)::BIGINT AS score FROM t GROUP BY 1""",
 )
 def alpha_sweep(spark, sf):
-    c = lambda df: R.top_k(df.withColumn("score", q6(F.col("score")) / 1e6), 20)
-    v, k = c(_vector(spark, sf)), c(_keyword(spark, sf))
-    out = None
-    for alpha in (0.3, 0.5, 0.7, 0.9):
-        t = _ranked(R.fuse(v, k, alpha), 5).groupBy().agg(F.count("*").alias("n"), F.sum("score").alias("score")).select(F.lit(round(alpha * 10)).cast("long").alias("alpha10"), "n", "score")
-        out = t if out is None else out.union(t)
-    return out
+    """Every alpha over the same two cut lists: a query and an alpha together are one query of the fusion."""
+    alphas = F.explode(F.array(*[F.lit(a) for a in (0.3, 0.5, 0.7, 0.9)]))
+    c = lambda df: R.top_k(df.withColumn("score", q6(F.col("score")) / 1e6), 20).withColumn("alpha", alphas).withColumn("qid", F.struct("qid", "alpha"))
+    f = R.fuse(c(_vector(spark, sf)), c(_keyword(spark, sf)), F.col("qid.alpha"))
+    return _ranked(f, 5).groupBy(F.round(F.col("qid.alpha") * 10).cast("long").alias("alpha10")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 @register("plain_scores", f"WITH {SCORES}, {cut('c', 'bm', 10)} SELECT qid, doc_id, {Q6.format('CASE WHEN score <= 0 THEN 0 WHEN score > 1 THEN least(1.0, score / 10) ELSE score END')} AS score FROM c")
