@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,25 +23,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path that the driver and all executors see.
+    """A new folder path that the driver and all executors see, in ``spark.checkpoint.dir``.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) it lies in a
-    temporary folder, which is then also set as the session's checkpoint folder.
+    Only on one machine may that be unset (tests): then it lies in a temporary folder, which is also
+    set as the session's checkpoint folder. On a cluster a missing setting is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="marlspring-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_MADE: ContextVar[dict[str, DataFrame] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the frame as a table in the shared folder and reads it back."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made[path] = back
+    return back
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``written`` makes within the block are removed at its end, but for those handed to the function it gives."""
+    made: dict[str, DataFrame] = {}
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(path for path, made_df in made.items() if made_df is df)
+        return df
+
+    token = _MADE.set(made)
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for path in made.keys() - kept:
+            remove(spark, path)
+        if (outer := _MADE.get()) is not None:
+            outer.update({path: made[path] for path in kept})
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:

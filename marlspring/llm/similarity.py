@@ -1,14 +1,22 @@
 """Operator 1: n-gram Jaccard join by universe-partition pigeonhole, exact at its threshold.
 
 A document is its set of 5-word shingles (hashes of 64 bits). Sets with J >= 0.75 differ in at most
-(|A| + |B|) / 7 shingles. Sets are put in size bands; a band's scheme parts the universe of shingles
-into segments by hash. Of a set's non-empty segments, those that differ are at most H, so under one
-order of all segment signatures two linked sets share a signature among the first H + 1 of each. The
-order is by cost, the estimated frequency of a segment's rarest shingle over all documents, so that
-what many documents share (a passage, a line) is left out. A set joins its own band's scheme and, if
-its partner may be larger, the next one's. Where few differences are allowed (the smallest band) the
-whole set is one segment with its one-deletion neighbourhood; a set whose non-empty segments don't
-exceed H (rare) also gives its cheapest shingles, as many as a prefix filter needs.
+H = (|A| + |B|) / 7 shingles. Sets are put in size bands; a band's scheme parts the universe of
+shingles into segments by hash. Each non-empty segment of a set offers the signature of its subset (F)
+and its one-deletion neighbourhood (D: the subset and the subset less each one shingle). If two linked
+sets share no F of a segment they differ there in one shingle at least, if they share no D in two.
+
+Allocation by cost: every signature has a price, the estimated number of documents beyond chance that
+hold its rarest shingle, times ``DELETION`` in a neighbourhood, whose rows are more. A set takes
+signatures in the order of price until what it took allocates H + 1 differences: one for a segment
+whose F is taken, two once its whole neighbourhood is. Were none of them shared, the sets would differ
+in more than H shingles, so the cheapest signature that two linked sets share is taken by both: the
+order is the same for all. Segments without a cheap signature get nothing. So what many documents
+share (a passage, a line) is left out, and texts that are mostly such get neighbourhoods in their other
+segments before they get a dear one. A set joins its own band's scheme and, if its partner may be larger,
+the next one's. In the smallest band the whole set is one segment with its neighbourhood; a set whose
+segments allocate too little in all (rare) also gives its cheapest shingles, as many as a prefix
+filter needs.
 
 Candidates are groups of sets with one signature. Equal sets are one node from the start. A slice
 passes a signature's nodes on, but of more than ``SENT`` only the least one and keeps the others as a
@@ -23,12 +31,15 @@ compared in the first of them only.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing (their component is their own id); a text of under five words is one shingle; copies are
-linked; ties go to the least id; repeated rows of an id are one document's rows; an empty table gives
-no rows; extra columns are ignored.
+linked; ties go to the least id; every row is a document of its own, so rows that repeat an id may have
+different sizes and components, and an id alone links nothing; a null id keeps its row, and is a
+component's id only where all of its ids are null or it is linked with nothing; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from marlspring.llm.common import arrow_rows, slices, text_of, written
+from marlspring.llm.common import arrow_rows, passing_tables, slices, text_of, written
 from marlspring.llm.components import components
 from marlspring.llm.hashing import mix, runs, word_hashes
 
@@ -50,14 +61,18 @@ NUM, DEN = 75, 100
 BANDS = [1, 6, *(6 * 3**k for k in range(1, 18))]
 #: Counters of the frequency sketch (4 MB, whatever the corpus size), and pieces it is summed in.
 SKETCH, PIECES = 1 << 20, 64
-#: Members of a group that are compared with as many others in one step.
-BLOCK = 1024
+#: Members of a group, and bytes of their bitmaps, that are compared with as many others in one step.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Rounds in which every component is compared with one other of a group, then with its nearest ones, before the rest is compared in full.
 ROUNDS = ("hub", "nearest")
 #: Nearest sets that a set is compared with in such a round, and groups that a member's row names (more only cost repeated pairs).
-NEAREST, NAMED = 3, 64
+NEAREST, NAMED = 3, 16
 #: Bytes of text in a task's slice, and members of one signature that a slice sends on one by one.
 SLICE, SENT = 1_000_000, 8
+#: What a signature of a one-deletion neighbourhood costs more than a whole segment's.
+DELETION = 4
+#: Signature rows that a bucket is made for, keys of a group in one row, and tasks that a hot group's rows are dealt to.
+BUCKET_ROWS, LONG, SALTS = 2_000_000, 50_000, 32
 #: Rows that a Python task holds at a time; a row may carry two whole sets.
 ARROW_ROWS = 500
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -164,12 +179,69 @@ def _least(owner: np.ndarray, cost: np.ndarray, sig: np.ndarray, quota: np.ndarr
     return owner[keep], sig[keep]
 
 
-def signatures(h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, signature) rows of a slice's sets."""
+def prices(counts: np.ndarray) -> np.ndarray:
+    """What a shingle of each counter costs: 1, plus the documents beyond those that share the counter by chance."""
+    chance = float(np.median(counts))
+    return (1 + np.clip(counts - chance - 3 * np.sqrt(chance), 0, 1 << 20)).astype(np.uint64)
+
+
+def _ranked(price: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """The place of signatures in the one order by price, then by the signature itself."""
+    return (np.minimum(price.astype(_U), _U((1 << 24) - 1)) << _U(40)) | (sig >> _U(24))
+
+
+def _bound(owner: np.ndarray, place: np.ndarray, quota: np.ndarray) -> np.ndarray:
+    """Each owner's place number ``quota`` in order, the last of all where it has fewer."""
+    order = np.lexsort((place, owner))
+    starts = np.searchsorted(owner[order], np.arange(len(quota) + 1))
+    out = np.full(len(quota), np.iinfo(_U).max, _U)
+    enough = np.flatnonzero(np.diff(starts) >= quota)
+    out[enough] = place[order[starts[enough] + quota[enough] - 1]]
+    return out
+
+
+def _allocated(o: np.ndarray, segment: np.ndarray, y: np.ndarray, c: np.ndarray, salt: np.uint64, quota: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(owner, signature) of what each set takes of its segments, and which sets' segments allocate less than their quota.
+
+    o, segment, y, c: owner, segment, hash and price of each shingle.
+    """
+    order = np.lexsort((c, segment, o))  # the rarest shingle of a segment comes first
+    o, segment, y, c = o[order], segment[order], y[order], c[order]
+    start = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (segment[1:] != segment[:-1])))
+    size = np.diff(np.append(start, len(o)))
+    who, total, first = o[start], np.add.reduceat(y, start), c[start]
+    tag = segment[start] * _U(0xC2B2AE3D27D4EB4F) + salt
+    whole = mix(total + tag)
+    place = _ranked(first, whole)
+    bound = _bound(who, place, quota)
+    # Neighbourhoods that may cost less than what the segments alone would take.
+    near = np.flatnonzero(first * _U(DELETION) <= bound[who] >> _U(40))
+    same = mix(total[near] + (tag[near] ^ _U(0xB5297A4D3F84D5B5)))
+    same_place = _ranked(first[near] * _U(DELETION), same)
+    many = np.flatnonzero(size[near] > 1)
+    held = size[near[many]]
+    at = np.repeat(np.arange(len(many)), held)
+    inner = np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held)
+    of = near[many][at]
+    less = mix(total[of] - y[start[of] + inner] + (tag[of] ^ _U(0xB5297A4D3F84D5B5)))
+    rarest = np.where(inner == 0, c[start[of] + 1], first[of])  # of what is left
+    less_place = _ranked(rarest * _U(DELETION), less)
+    if len(many):
+        complete = np.maximum(np.maximum.reduceat(less_place, np.cumsum(held) - held), same_place[many])
+        events, owners = np.concatenate([place, complete]), np.concatenate([who, who[near[many]]])
+        bound = _bound(owners, events, quota)
+    else:
+        owners = who
+    found = [(w[p <= bound[w]], g[p <= bound[w]]) for w, g, p in ((who, whole, place), (who[near], same, same_place), (who[of], less, less_place))]
+    return found, np.bincount(owners, minlength=len(quota)) < quota
+
+
+def signatures(h: np.ndarray, at: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, signature) rows of a slice's sets; ``price`` is by the shingles' counters."""
     size = np.diff(at)
     band = np.searchsorted(BANDS, size, side="right") - 1
     owner = np.repeat(np.arange(len(size)), size)
-    cost = counts[(h >> _U(44)).astype(np.int64)]
+    cost = price[(h >> _U(44)).astype(np.int64)].astype(_U)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for scheme in np.unique(np.concatenate([band, band + 1])) if len(size) else []:
         if scheme < 0 or scheme + 1 >= len(BANDS):
@@ -183,8 +255,7 @@ def signatures(h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.nd
         o, x, c = owner[mine], h[mine], cost[mine]
         salt = _U((int(scheme) + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         y = mix(x ^ salt)
-        differ = np.where(members, allowed(size, largest), 0)
-        if scheme == 0:  # one segment and its one-deletion neighbourhood
+        if scheme == 0:  # one segment and its one-deletion neighbourhood: one difference at most
             total = np.zeros(len(size), _U)
             np.add.at(total, o, y)
             whole = np.flatnonzero(members)
@@ -192,14 +263,11 @@ def signatures(h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.nd
             continue
         segments = max(1, -(-high // 2))
         segment = ((y >> _U(32)) * _U(segments)) >> _U(32)
-        order = np.lexsort((segment, o))
-        so, ss, sy, sc = o[order], segment[order], y[order], c[order]
-        start = np.flatnonzero(np.append(True, (so[1:] != so[:-1]) | (ss[1:] != ss[:-1])))
-        sig = mix(np.add.reduceat(sy, start) + ss[start] * _U(0xC2B2AE3D27D4EB4F) + salt)
-        who, price = so[start], np.minimum.reduceat(sc, start)
-        found.append(_least(who, price, sig, differ + 1))
-        few = members & (np.bincount(who, minlength=len(size)) <= differ)
-        if few.any():  # too few non-empty segments: the cheapest shingles themselves
+        quota = np.where(members, allowed(size, largest) + 1, 1)
+        taken, few = _allocated(o, segment, y, c, salt, quota)
+        found += taken
+        few &= members
+        if few.any():  # the segments allocate too little: the cheapest shingles themselves
             some = few[o]
             found.append(_least(o[some], c[some], mix(y[some] ^ _U(0x94D049BB133111EB)), size - (size * NUM + DEN - 1) // DEN + 1))
     if not found:
@@ -219,22 +287,30 @@ def _runs_of(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _emitted(sig: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, partial: np.ndarray) -> pa.RecordBatch:
-    """Groups as rows gid, keys, weight, partial. A whole group is known by its keys, and counted once for each signature."""
+    """Groups as rows gid, keys, weight, partial. A whole group is known by its keys, and counted once for each signature.
+
+    No row grows with its group: one of over ``LONG`` keys is several parts.
+    """
     many = np.flatnonzero(length > 1)
-    start, length, partial = start[many], length[many], partial[many]
+    start, length, partial = start[many], length[many], partial[many] | (length[many] > LONG)
     total = np.append(_U(0), np.cumsum(mix(key.astype(_U))))
     known = mix(total[start + length] - total[start] + length.astype(_U))
     gid = np.where(partial, sig[start], known & ~_U(1)) if len(many) else np.zeros(0, _U)
-    gid, first, weight = np.unique(gid, return_index=True, return_counts=True)
-    start, length, partial = start[first], length[first], partial[first]
+    whole, parts = np.flatnonzero(~partial), np.flatnonzero(partial)
+    _, first, counts = np.unique(gid[whole], return_index=True, return_counts=True)
+    rows, weight = np.concatenate([whole[first], parts]), np.concatenate([counts, np.ones(len(parts), np.int64)])
+    pieces = -(-length[rows] // LONG)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    rows, weight = np.repeat(rows, pieces), np.repeat(weight, pieces)
+    gid, start, length, partial = gid[rows], start[rows] + nth * LONG, np.minimum(length[rows] - nth * LONG, LONG), partial[rows]
     ends = np.append(0, np.cumsum(length))
     at = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(start, length)
     keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[at]))
     return pa.RecordBatch.from_arrays([pa.array(gid.astype(np.int64)), keys, pa.array(weight.astype(np.int64)), pa.array(partial)], ["gid", "keys", "weight", "partial"])
 
 
-def groups(docs: DataFrame, counts, buckets: int) -> DataFrame:
-    """gid, key, weight: groups of nodes that share a signature, a row for each member.
+def groups(docs: DataFrame, price, buckets: int) -> DataFrame:
+    """gid, key, weight, salt: groups of nodes that share a signature, a row for each member; a hot group's members differ in ``salt``.
 
     A slice sends the members of a signature on, or, of more than ``SENT`` members, its least one, and
     keeps those together as a part. A signature with parts is one group by the signature; all others
@@ -246,12 +322,13 @@ def groups(docs: DataFrame, counts, buckets: int) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 h, at = shingle_sets(part.column(0).to_pylist())
                 key = set_keys(h, at)
-                who, sig = signatures(h, at, counts.value)
+                who, sig = signatures(h, at, price.value)
                 sig, key, start, length = _runs_of(sig | _U(1), key[who])
                 hot = length > SENT
                 if hot.any():
                     held = _emitted(sig, key, start[hot], length[hot], np.ones(hot.sum(), bool))
-                    spread = pa.array(((held.column(0).to_numpy() >> 7) % buckets).astype(np.int32))
+                    # Parts go on as they are, so those of one signature may go to any bucket.
+                    spread = pa.array(((mix(held.column(0).to_numpy().astype(_U) ^ key[0].astype(_U)) >> _U(7)) % _U(buckets)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([spread, *held.columns, pa.nulls(len(held), pa.binary())], names)
                 kept = np.ones(len(sig), bool)
                 kept[np.repeat(hot, length)] = False
@@ -287,9 +364,14 @@ def groups(docs: DataFrame, counts, buckets: int) -> DataFrame:
     dealt = docs.select("text").mapInArrow(deal, "bucket int, gid long, keys array<long>, weight long, partial boolean, blob binary")
     found = dealt.repartition(buckets, "bucket").mapInArrow(meet, "gid long, keys array<long>, weight long, partial boolean")
     whole = found.where("NOT partial").groupBy("gid").agg(F.first("keys").alias("keys"), F.sum("weight").alias("weight"))
-    member = whole.select("gid", F.explode("keys").alias("key"), "weight")
+    member = whole.select("gid", F.explode("keys").alias("key"), "weight", F.lit(0).alias("salt"))
     part = found.where("partial").select("gid", F.explode("keys").alias("key"), "weight").distinct()
-    return member.union(part)
+    return member.union(part.withColumn("salt", F.expr(f"cast(pmod(xxhash64(key), {SALTS}) as int)")))
+
+
+def _salted(per_group: DataFrame) -> DataFrame:
+    """Rows by group (gid, hot and others) once for each salt that the group's members have."""
+    return per_group.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
 
 
 def member_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -359,19 +441,22 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     spark: SparkSession = documents.sparkSession
     docs = text_of(documents)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with arrow_rows(spark, ARROW_ROWS):  # everything until the last, narrow join runs within
-        table = written(nodes(docs))
-        counts = spark.sparkContext.broadcast(summed_sketch(table))
-        grouped = written(groups(docs, counts, buckets))
-        labels = _linked_components(spark, docs, table, grouped)
+    # Everything until the last, narrow join runs within.
+    with arrow_rows(spark, ARROW_ROWS), passing_tables(spark) as keep:
+        table = keep(written(nodes(docs)))
+        price = spark.sparkContext.broadcast(prices(summed_sketch(table)))
+        shingles = table.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+        # A set sends about a third of its shingles' number in signatures.
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / 3 / BUCKET_ROWS))
+        grouped = written(groups(docs, price, buckets))
+        labels = keep(_linked_components(spark, docs, table, grouped))
     rows = table.where("kind = 0").select("doc_id", "n", "key").join(labels, "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, members: DataFrame) -> DataFrame:
-    """key, root of every node that is linked with another, from the groups' members (gid, key, weight)."""
+    """key, root of every node that is linked with another, from the groups' members (gid, key, weight, salt)."""
     sizes = table.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     known = written(sizes.join(members.select("key").distinct(), "key", "left_semi"))
     sets = written(member_sets(docs, spark.sparkContext.broadcast(wanted_bitmap(known))).join(known.select("key"), "key", "left_semi"))
@@ -385,20 +470,19 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         # Groups that are within one component are done; the others' members stay, with their components.
-        labelled = at.select("gid", "key", "weight").join(labels, "key", "left").select("gid", "key", "weight", F.coalesce("root", "key").alias("root"))
-        labelled = written(labelled)
-        open_ = labelled.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
-        at = written(labelled.join(open_, "gid", "left_semi"))
+        labelled = written(at.select("gid", "key", "weight", "salt").join(labels, "key", "left").select("gid", "key", "weight", "salt", F.coalesce("root", "key").alias("root")))
+        open_ = labelled.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y"), (F.max("salt") > 0).alias("hot")).where("x <> y").select("gid", "hot")
+        at = written(labelled.join(_salted(open_), ["gid", "salt"], "left_semi"))
     pairs = written(_cross_pairs(at, known).select("a", "b").distinct())
     new = written(verified(pairs, _of_pairs(sets, pairs)))
     return components(edges.union(new)) if not new.isEmpty() else labels
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
-    """a, b: one node of each component of a group, and one of the least component that it meets most (gid, key, weight, root)."""
-    one = members.groupBy("gid", "root").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
-    hub = one.groupBy("gid").agg(F.min(F.struct("root", "key")).alias("hub"))
-    met = one.join(hub, "gid").where("root <> hub.root").groupBy("root", F.col("hub.root").alias("other")).agg(F.sum("weight").alias("n"), F.min(F.struct("key", F.col("hub.key").alias("to"))).alias("pair"))
+    """a, b: one node of each component of a group, and one of the least component that it meets most (gid, key, weight, salt, root)."""
+    one = members.groupBy("gid", "root").agg(F.min("key").alias("key"), F.max("weight").alias("weight"), F.max("salt").alias("salt"))
+    hub = _salted(one.groupBy("gid").agg(F.min(F.struct("root", "key")).alias("hub"), (F.max("salt") > 0).alias("hot")))
+    met = one.join(hub, ["gid", "salt"]).where("root <> hub.root").groupBy("root", F.col("hub.root").alias("other")).agg(F.sum("weight").alias("n"), F.min(F.struct("key", F.col("hub.key").alias("to"))).alias("pair"))
     return met.groupBy("root").agg(F.max(F.struct("n", "pair")).alias("m")).select(F.col("m.pair.key").alias("a"), F.col("m.pair.to").alias("b"))
 
 
@@ -416,14 +500,16 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 def _cross_pairs(members: DataFrame, known: DataFrame, nearest: bool = False) -> DataFrame:
     """a, b, apart: pairs of one group but two components (gid, key, root) that sizes and bitmaps don't rule out.
 
-    A group is cut into blocks of about ``BLOCK`` members, and a task compares two blocks at a time as
+    A group is cut into blocks of about ``BLOCK`` members or ``BLOCK_BYTES``, and a task compares two blocks at a time as
     arrays: only pairs that pass leave it (``nearest``: a member's nearest in the other block), so
     neither a group nor its pairs are ever gathered. A member names its first groups; a pair that
     shares an earlier one is left to that.
     """
-    sizes = members.groupBy("gid").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+    width = known.select("key", F.octet_length("bits").cast("long").alias("w"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("w") / BLOCK_BYTES)).cast("int")
+    sizes = written(members.join(width, "key").groupBy("gid").agg(blocks.alias("blocks"), (F.max("salt") > 0).alias("hot")))
     named = members.groupBy("key").agg(F.expr(f"slice(array_sort(collect_list(gid)), 1, {NAMED})").alias("named"))
-    rows = members.join(sizes, "gid").join(written(known.join(named, "key")), "key").withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    rows = members.join(_salted(sizes), ["gid", "salt"]).join(written(known.join(named, "key")), "key").withColumn("own", F.expr("cast(pmod(xxhash64(key, 7), blocks) as int)"))
     earlier = F.expr("filter(named, g -> g < gid)").alias("named")
     dealt = rows.select("gid", "key", "root", "n", "bits", earlier, "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("gid", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "root", "n", "bits", "named")

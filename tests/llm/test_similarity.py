@@ -52,11 +52,14 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert got(jaccard_components(df)) == brute(rows)
 
 
+SIZES = [*range(3, 40), 53, 54, 55, 160, 161, 162, 163, 500, 1500]
+
+
 def test_linked_sets_always_share_a_signature():
     """The pigeonhole bound over random pairs of every size near the threshold."""
     rng = np.random.default_rng(3)
-    counts = rng.integers(1, 50, 1 << 20).astype(np.uint32)
-    for size in [*range(3, 40), 53, 54, 55, 160, 161, 162, 163, 500, 1500]:
+    few_cheap = np.where(rng.random(1 << 20) < 0.3, 1, rng.integers(100, 9000, 1 << 20)).astype(np.uint64)
+    for size, counts in [(n, p) for n in SIZES for p in (rng.integers(1, 50, 1 << 20).astype(np.uint64), few_cheap, np.ones(1 << 20, np.uint64))]:
         for _ in range(6):
             a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
             drop = rng.integers(0, size // 4 + 1)
@@ -105,6 +108,41 @@ def test_members_are_compared_in_their_first_group_only(spark):
     """Of pairs that share two groups and lie in two components, each comes out once."""
     sets = {k: np.unique(np.random.default_rng(9).integers(0, 1 << 63, 60).astype(np.uint64)[k:]) for k in range(6)}
     known = spark.createDataFrame([(k, len(h), bytearray(bitmap(h))) for k, h in sets.items()], "key long, n long, bits binary")
-    members = spark.createDataFrame([(g, k, k) for g in (3, 7) for k in sets], "gid long, key long, root long")
+    members = spark.createDataFrame([(g, k, k, 0) for g in (3, 7) for k in sets], "gid long, key long, root long, salt int")
     found = [(r.a, r.b) for r in similarity._cross_pairs(members, known).collect()]
     assert sorted(found) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
+
+
+def test_neighbourhoods_are_taken_where_whole_segments_are_dear():
+    """A set that is mostly a common passage takes its own segments' neighbourhoods and so fewer signatures of the passage."""
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
+    slot = (h >> np.uint64(44)).astype(np.int64)
+    dear = np.ones(1 << 20, np.uint64)
+    dear[slot[rng.permutation(len(h))[:80]]] = 5000
+    whole = similarity.DELETION
+    try:
+        similarity.DELETION = 4
+        _, taken = signatures(h, np.array([0, len(h)]), dear)
+        similarity.DELETION = 1 << 22  # never
+        _, without = signatures(h, np.array([0, len(h)]), dear)
+    finally:
+        similarity.DELETION = whole
+    assert len(set(taken) - set(without)) > 0 and len(set(without) - set(taken)) > 0
+    _, plain = signatures(h, np.array([0, len(h)]), np.ones(1 << 20, np.uint64))
+    assert set(plain) < set(without) | set(plain) and len(plain) <= 2 * (allowed(100, 133) + 1)
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(0, a), (1, a), (1, b), (2, b), (None, a), (None, None)]
+    found = sorted((r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id IS NOT NULL").collect())
+    assert found == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
+def test_long_groups_are_several_rows(monkeypatch):
+    monkeypatch.setattr(similarity, "LONG", 3)
+    sig, key = np.array([9] * 8 + [11] * 2, np.uint64), np.arange(10)
+    out = similarity._emitted(sig, key, np.array([0, 8]), np.array([8, 2]), np.zeros(2, bool))
+    assert max(map(len, out.column(1).to_pylist())) == 3 and sorted(sum(out.column(1).to_pylist(), [])) == list(range(10))
+    assert {g for g, p in zip(out.column(0).to_pylist(), out.column(3).to_pylist()) if p} == {9}
