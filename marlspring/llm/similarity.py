@@ -25,7 +25,7 @@ each slice; groups with the same members become one. In each round every compone
 one other of a group, exactly, on the shingles; links merge components, and groups that are within one
 component are done. What still stands in one group but in different components is compared block by
 block inside tasks, by bounds on sizes and folded bitmaps: first each set gives only its nearest ones,
-which merges what copies of copies leave apart, then every pair that the bounds let pass and that is
+which merges what copies of copies leave apart (groups of ``CROWD`` members or more), then every pair that the bounds let pass and that is
 still in two components, so no link between components can be missed. A pair of several groups is
 compared in the first of them only.
 
@@ -65,6 +65,8 @@ SKETCH, PIECES = 1 << 20, 64
 BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Rounds in which every component is compared with one other of a group, then with its nearest ones, before the rest is compared in full.
 ROUNDS = ("hub", "nearest")
+#: Members of a group from which on its sets are first compared with their nearest ones only.
+CROWD = 64
 #: Nearest sets that a set is compared with in such a round, and groups that a member's row names (more only cost repeated pairs).
 NEAREST, NAMED = 3, 16
 #: Bytes of text in a task's slice, and members of one signature that a slice sends on one by one.
@@ -110,8 +112,8 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the hashes by slot, in 4 to 8 slots for each; halves may be folded with exclusive or."""
-    b = max(64, 1 << int(4 * len(h) - 1).bit_length())
+    """Parity of the hashes by slot, in 1 to 2 slots for each; halves may be folded with exclusive or."""
+    b = max(64, 1 << len(h).bit_length())
     return np.packbits((np.bincount((h & _U(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -375,7 +377,7 @@ def _salted(per_group: DataFrame) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, wanted) -> DataFrame:
-    """key, n, set (64-bit hashes) of the nodes whose key passes a bitmap of wanted keys; one row for each key and slice."""
+    """key, n, set (64-bit hashes) of the nodes whose key passes a bitmap of wanted keys; a few rows for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -395,7 +397,7 @@ def member_sets(docs: DataFrame, wanted) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "set"])
 
-    return docs.select("text").mapInArrow(run, "key long, set binary").dropDuplicates(["key"])
+    return docs.select("text").mapInArrow(run, "key long, set binary")
 
 
 #: Bits of the broadcast bitmap of wanted keys (8 MB, whatever their number).
@@ -459,14 +461,13 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
     """key, root of every node that is linked with another, from the groups' members (gid, key, weight, salt)."""
     sizes = table.where("kind = 0 AND key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     known = written(sizes.join(members.select("key").distinct(), "key", "left_semi"))
-    sets = written(member_sets(docs, spark.sparkContext.broadcast(wanted_bitmap(known))).join(known.select("key"), "key", "left_semi"))
     at, labels, edges = members.withColumn("root", F.col("key")), None, None
     for kind in ROUNDS:
         if kind == "hub":
-            new = written(verified(_possible(written(_hub_pairs(at)), known), sets))
+            pairs = written(_possible(written(_hub_pairs(at)), known))
         else:
             pairs = _nearest(_cross_pairs(at, known, nearest=True))
-            new = written(verified(pairs, _of_pairs(sets, pairs)))
+        new = written(verified(pairs, _of_pairs(docs, pairs)))
         edges = new if edges is None else edges.union(new)
         labels = components(edges)
         # Groups that are within one component are done; the others' members stay, with their components.
@@ -474,7 +475,7 @@ def _linked_components(spark: SparkSession, docs: DataFrame, table: DataFrame, m
         open_ = labelled.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y"), (F.max("salt") > 0).alias("hot")).where("x <> y").select("gid", "hot")
         at = written(labelled.join(_salted(open_), ["gid", "salt"], "left_semi"))
     pairs = written(_cross_pairs(at, known).select("a", "b").distinct())
-    new = written(verified(pairs, _of_pairs(sets, pairs)))
+    new = written(verified(pairs, _of_pairs(docs, pairs)))
     return components(edges.union(new)) if not new.isEmpty() else labels
 
 
@@ -486,9 +487,11 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return met.groupBy("root").agg(F.max(F.struct("n", "pair")).alias("m")).select(F.col("m.pair.key").alias("a"), F.col("m.pair.to").alias("b"))
 
 
-def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets that pairs name, written: where pairs are few, all sets would cross two exchanges for them."""
-    return written(sets.join(written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()), "key", "left_semi"))
+def _of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, set of the nodes that pairs name, written; made anew from the texts, as few of all sets are ever named."""
+    keys = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_bitmap(keys))
+    return written(member_sets(docs, wanted).join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -507,7 +510,8 @@ def _cross_pairs(members: DataFrame, known: DataFrame, nearest: bool = False) ->
     """
     width = known.select("key", F.octet_length("bits").cast("long").alias("w"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("w") / BLOCK_BYTES)).cast("int")
-    sizes = written(members.join(width, "key").groupBy("gid").agg(blocks.alias("blocks"), (F.max("salt") > 0).alias("hot")))
+    sizes = members.join(width, "key").groupBy("gid").agg(blocks.alias("blocks"), (F.max("salt") > 0).alias("hot"), F.count("*").alias("n"))
+    sizes = written(sizes.where(f"n >= {CROWD if nearest else 0}").drop("n"))
     named = members.groupBy("key").agg(F.expr(f"slice(array_sort(collect_list(gid)), 1, {NAMED})").alias("named"))
     rows = members.join(_salted(sizes), ["gid", "salt"]).join(written(known.join(named, "key")), "key").withColumn("own", F.expr("cast(pmod(xxhash64(key, 7), blocks) as int)"))
     earlier = F.expr("filter(named, g -> g < gid)").alias("named")

@@ -88,6 +88,7 @@ def test_components(spark):
 def test_near_copies_over_many_blocks(spark, monkeypatch):
     """Copies of one base that are linked with few others, in groups of many small blocks."""
     monkeypatch.setattr(similarity, "BLOCK", 4)
+    monkeypatch.setattr(similarity, "CROWD", 8)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
     rows = []
