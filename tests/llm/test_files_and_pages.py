@@ -1,4 +1,6 @@
 import html as entities
+import json
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlspring.llm.common import shared_dir
 from marlspring.llm.hilbert import document_shards, hilbert_index
-from marlspring.llm.html import blocks, html_text, infer, main_text
+from marlspring.llm.html import blocks, host_wrappers, html_text, main_text, page_wrapper
 from marlspring.llm.token_files import read_token_files, token_crc, write_token_files
 from marlspring.llm.warc import candidates, read_payloads, read_warc, reachable, write_warc
 
@@ -169,10 +171,41 @@ def test_pages_without_a_wrapper(html, text):
 )
 def test_marks_are_whole_tokens_and_frames_keep_their_article(html, text):
     assert main_text(html, None) == text
-    assert main_text(html, infer([html])) == text
 
 
-def test_wrapper_has_optional_and_repeated_groups():
-    w = infer([PAGE.format("<p>x</p>" * k) + ("<div>tail</div>" if k % 2 else "") for k in range(4)])
-    assert "(<p>#</>)+" in w["expression"] and "?" in w["expression"] and w["roles"]["article/p"] == "main" and w["article"]
+def test_wrapper_has_optional_and_repeated_groups(spark):
+    rows = [("h", PAGE.format("<p>x</p>" * k) + ("<div>tail</div>" if k % 2 else "")) for k in range(4)]
+    (r,) = host_wrappers(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()
+    w = json.loads(r.wrapper)
+    assert "(<p>#</>)+" in w["expression"] and "?" in w["expression"] and w["roles"]["article/p"] == "main"
     assert blocks(entities.escape("<p>"))[0][1] == "<p>"
+
+
+def test_the_wrapper_decides_where_nothing_names_the_article(spark):
+    """Unmarked notices, menus and footers of a host are known by its other pages; articles, and copies of one, stay."""
+    rows, want = [], {}
+    for k in range(40):
+        body = [f"Title {k % 33}", *[f"Paragraph {j} of page {k % 33} with words of its own" for j in range(1 + k % 33 % 4)]]
+        menu = '<a href="/">Home</a> <a href="/x">Long list of things</a>' + ("" if k % 4 else " new today, and for a longer while")
+        page = f"<div><p>We use small files to know you.</p></div><div class=top><p>{menu}</p></div><div class=body><h2>{body[0]}</h2>" + "".join(f"<p>{b}</p>" for b in body[1:]) + "</div><div class=end>All rights with us</div>"
+        rows.append((k, f"http://plain.example/{k}", page))
+        want[k] = "\n\n".join(body)
+    rows.append((99, "http://other.example/", rows[0][2]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).repartition(5)
+    found = {r.page_id: r.text for r in html_text(df.union(df.where("page_id = 3"))).collect()}
+    alone = {k: main_text(h, None) for k, _, h in rows}
+    assert {k: found[k] for k in want} == want
+    assert sum(found[k] != alone[k] for k in want) == 40
+    assert found[99] == alone[99]  # a host of one page has no template text
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    began = time.perf_counter()
+    assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000, None) == "deep"
+    assert len(main_text("<div>x" * 150_000, None)) == 150_000 * 3 - 2
+    assert main_text("<a " * 350_000, None).startswith("<a <a")
+    for broken in ('<a x=">" ' * 100_000, "<a x='" * 150_000, "<head>" * 150_000, "</p>" * 250_000, "<div>" * 100_000 + "</x>" * 100_000, "<ul>" + "<div>" * 100_000 + "<li></li>" * 50_000, "<!-- " * 200_000, "<h2>a<p>b" * 60_000):
+        main_text(broken, None)
+        page_wrapper(blocks(broken))
+    assert time.perf_counter() - began < 60
+    assert main_text("<article>" + "<div>" * 300 + "<nav>no</nav><p>yes", None) == "yes"

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from marlspring.llm.bpe import load
 from marlspring.llm.hashing import runs, word_hashes
-from marlspring.llm.html import blocks, infer, main_text
+from marlspring.llm.html import HostWrapper, Places, blocks, main_text
 from marlspring.llm.language import features, folded
 from marlspring.llm.similarity import bitmap, bits_differ, shingle_sets
 from marlspring.llm.token_files import LibraryEncoder
@@ -62,7 +62,10 @@ def test_word_hashes_depend_on_the_word_alone(docs):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<article>", "</article>", "<div class='ad'>", "</div>", "<li>", "<td", "<", ">", "text", " ", "&amp;", "&", "<!--", "-->", "<script>", "</script>", "<br>", "<a href='x'>", "</a>", "<nav>", "</nav>"]), max_size=25).map("".join))
 def test_any_markup_is_tolerated(page):
-    infer([page, page])
+    w, places, known = HostWrapper(), Places(), {}
+    found = blocks(page)
+    w.see(found, [places.of(e, known) for e, _, _ in found], places)
+    assert set(w.roles()) == {places.path(known[e]) if e else "" for e, _, _ in found}
     text = main_text(page, None)
     assert text == "\n\n".join(t for t in text.split("\n\n") if t.strip()) and all(" ".join(b[1].split()) == b[1] for b in blocks(page))
 
