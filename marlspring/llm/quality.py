@@ -3,9 +3,10 @@
 Base measures are counted for every text inside its own row (no shuffle, no Python). Repeated 3-word
 windows are found by sorting the windows' hashes together with their positions: where two neighbours
 share a hash, both windows mark their words. The further rules are put in an order by what a sample
-says of each: its cost (units of work on the text) and the share of documents it rejects; the rule
-with the most rejections per cost comes first, and ``OR`` stops at the first rule that rejects. The
-order changes the work and ``failed_rule``, never the verdict.
+says of each: its cost, timed there over the documents that pass the base, and the share it rejects of
+those that the base and the rules before it let pass; the rule with the most rejections per cost comes
+next, and ``OR`` stops at the first rule that rejects. The order changes the work and ``failed_rule``,
+never the verdict.
 
 Words are runs of characters other than the space and \\t to \\r. Defined results: null and empty texts
 have no words, so they fail the base; a text with under three words has no windows; repeated rows
@@ -14,32 +15,41 @@ give repeated rows; an empty table gives no rows; extra columns are ignored unle
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspring.llm.common import passing_tables, written
+
 #: Rows, in expectation, of the sample that orders the rules.
 SAMPLE_ROWS = 2000
+#: Timed runs of a rule over the sample, of which the fastest counts, and the least cost in seconds.
+RUNS, LEAST_COST = 3, 1e-3
 _INDEX_BITS = 24
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule that rejects where ``rejects`` holds; ``cost`` is its work on one text, in characters read."""
+    """A rule that rejects where ``rejects`` holds."""
 
     name: str
     rejects: str
-    cost: str
 
 
+#: The base: what fails it is not kept.
+BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 #: The further rules, over the base measures, n_lines, and the text.
 RULES = (
-    Rule("symbols", "5 * n_symbols > n_words", "1"),
-    Rule("duplicate_lines", "2 * n_dup_lines > n_lines", "1"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "2"),
-    Rule("shouting", "2 * (length(text) - length(replace(text, '!', ''))) > n_words", "length(text)"),
-    Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]', '')) > length(regexp_replace(text, '[^A-Za-z]', ''))", "6 * length(text)"),
+    Rule("symbols", "5 * n_symbols > n_words"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    Rule("shouting", "2 * (length(text) - length(replace(text, '!', ''))) > n_words"),
+    Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]', '')) > length(regexp_replace(text, '[^A-Za-z]', ''))"),
+    Rule("letters", r"2 * length(regexp_replace(text, '[^\\p{L}]', '')) < word_chars"),
+    Rule("links", "5 * (length(text) - length(replace(text, '://', '//'))) > n_words"),
+    Rule("ellipses", "2 * (length(text) - length(replace(text, '...', '..'))) > n_lines + 4"),
 )
 
 
@@ -62,7 +72,8 @@ def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
     )
     df = _once(df, _distinct="size(array_distinct(_t))")
     # Hash and position in one number sort fastest; where cut hashes would clash, whole ones are sorted.
-    df = _once(df, _clash=f"_distinct < size(_t) AND size(array_distinct(transform(_t, h -> h & ~{low}L))) < _distinct")
+    # So they are in a text whose positions don't fit the bits left for them.
+    df = _once(df, _clash=f"size(_t) > {low} OR _distinct < size(_t) AND size(array_distinct(transform(_t, h -> h & ~{low}L))) < _distinct")
     df = _once(
         df,
         _k=f"CASE WHEN _distinct < size(_t) AND NOT _clash THEN sort_array(transform(_t, (h, i) -> (h & ~{low}L) | cast(i as bigint))) ELSE array() END",
@@ -91,14 +102,35 @@ def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost on a sample of about ``rows`` documents (dealt by the id's hash)."""
+    """The rules by rejections per cost on a sample of about ``rows`` documents (dealt by the id's hash).
+
+    Rejections are counted among what the rules before let pass; cost is the time a rule takes over
+    the sample beyond that of reading it.
+    """
     every = max(1, docs.count() // rows)
-    sample = base_measures(docs.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0")))
-    told = sample.agg(
-        *[F.count_if(F.expr(r.rejects)).alias(f"n_{r.name}") for r in rules],
-        *[F.sum(F.expr(f"cast({r.cost} as double)")).alias(f"c_{r.name}") for r in rules],
-    ).first()
-    return sorted(rules, key=lambda r: (-(told[f"n_{r.name}"] / ((told[f"c_{r.name}"] or 0.0) + 1.0)), r.name))
+    with passing_tables(docs.sparkSession):
+        sample = written(base_measures(docs.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0"))).where(f"NOT ({BASE})"))
+        bits = " + ".join(f"if({r.rejects}, {1 << k}, 0)" for k, r in enumerate(rules))
+        told = [(r.m, r.n) for r in sample.groupBy(F.expr(bits).alias("m")).agg(F.count("*").alias("n")).collect()]  # one row for each set of rules that reject together
+
+        def seconds(what: str) -> float:
+            taken = []
+            for _ in range(RUNS):
+                began = time.perf_counter()
+                sample.agg(F.count_if(F.expr(what)), F.sum(F.length("text"))).first()
+                taken.append(time.perf_counter() - began)
+            return min(taken)
+
+        reading = seconds("n_words < 0")
+        cost = {r: max(LEAST_COST, seconds(r.rejects) - reading) for r in rules}
+    order: list[Rule] = []
+    left = list(enumerate(rules))
+    while left:
+        k, best = max(left, key=lambda x: (sum(n for m, n in told if m >> x[0] & 1) / cost[x[1]], -cost[x[1]], x[1].name))
+        told = [(m, n) for m, n in told if not m >> k & 1]
+        left.remove((k, best))
+        order.append(best)
+    return order
 
 
 def quality_rules(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -107,8 +139,7 @@ def quality_rules(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES)
     failed = F.when(F.col("base_failed"), F.lit("base"))
     for r in order:
         failed = failed.when(F.expr(r.rejects), F.lit(r.name))
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    judged = _once(base_measures(docs, *keep).withColumn("base_failed", base), failed_rule=failed)
+    judged = _once(base_measures(docs, *keep).withColumn("base_failed", F.expr(BASE)), failed_rule=failed)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule",
         *[F.col("text") if c == "text" else F.col(f"_keep_{c}").alias(c) for c in keep],
@@ -116,7 +147,7 @@ def quality_rules(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their own columns (a null text never passes)."""
+    """The documents that pass, with all their own columns; rows that repeat one or have a null id are judged one by one, and a null text never passes."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in others]).alias("_others"))
     kept = quality_rules(rows, "_others", "text").where("kept")
