@@ -4,8 +4,9 @@ A task cuts its texts into pieces at single spaces, cuts each *distinct* piece i
 pre-tokens, and merges all new pre-tokens together: their symbols lie in one flat array, the rank of
 every adjacent pair is found by binary search over the sorted pair keys, and in each round every word
 merges the occurrences of its own lowest-ranked pair. A merged symbol only occurs in pairs of higher
-rank, so a round may merge all occurrences of one pair. Encoded pieces stay in a bounded cache of the
-Python worker; nothing but (id, counts, digests or ids) leaves a task, and there is no shuffle.
+rank, so a round may merge all occurrences of one pair. Words of over ``LONG_WORD`` bytes, which would take
+very many rounds, are merged from a heap instead. Encoded pieces stay in a cache of the Python worker that is bounded
+by bytes, long ones never; a tokenizer that cuts texts otherwise than by the byte-level pattern is refused; nothing but (id, counts, digests or ids) leaves a task, and there is no shuffle.
 
 Defined results: a null or empty text has no tokens (digests of the empty string); very long texts
 and words are merged whole; repeated rows give repeated rows; an empty table gives no rows; extra
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,8 +30,10 @@ from marlspring.llm.common import slices, text_of
 
 #: The pre-tokenizer of byte-level BPE vocabularies, as published with them.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 300_000
+#: Bytes that a worker's cache holds before it starts anew, and characters from which on a piece is not kept.
+CACHE_BYTES, LONG_PIECE = 128 << 20, 256
+#: Bytes of a word from which on its merges are found with a heap: rounds over a flat array are many for such words.
+LONG_WORD = 2000
 NONE = np.iinfo(np.int64).max
 
 
@@ -85,12 +89,24 @@ def pre_tokens(piece: str) -> list[str]:
     return _PRE.findall(piece)
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a ``tokenizer.json`` cuts texts by the byte-level pattern alone."""
+    cut = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
+def check_pre_tokenizer(spec: dict) -> None:
+    if not plain_byte_level(spec):
+        raise ValueError(f"pre-tokenizer or normalizer is not the plain byte-level one: {spec.get('pre_tokenizer')}")
+
+
 class Bpe:
     """Vocabulary, merges and added tokens of a byte-level ``tokenizer.json``."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_pre_tokenizer(spec)
         vocab = spec["model"]["vocab"]
         symbols = byte_symbols()
         back = {s: b for b, s in enumerate(symbols)}
@@ -110,6 +126,9 @@ class Bpe:
         self.text_of = list(map(str, range(self.size)))
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
+        self.once: dict[str, tuple[str, int, bytes]] = {}  # long pieces of the texts at hand
+        self.pairs: dict[int, tuple[int, int]] = {}
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words (not empty) one after another, and the words' offsets; by rounds over one flat array."""
@@ -151,18 +170,55 @@ class Bpe:
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         return sym[np.argsort(word, kind="stable")], np.append(0, np.cumsum(np.bincount(word, minlength=len(words))))
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The ids of one long word: the same merges, the lowest rank and leftmost place first, from a heap."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        sym = self.first[np.frombuffer(word, dtype=np.uint8)].tolist()
+        n, pairs, size = len(sym), self.pairs, self.size
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(pairs[k][0], i) for i in range(n - 1) if (k := sym[i] * size + sym[i + 1]) in pairs]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            got = pairs.get(sym[i] * size + sym[j]) if sym[i] >= 0 and j < n else None
+            if got is None or got[0] != rank:
+                continue  # one of the two was merged before
+            sym[i], sym[j] = got[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (pair := sym[i] * size + sym[k]) in pairs:
+                    heappush(heap, (pairs[pair][0], i))
+            p = before[i]
+            if p >= 0 and (pair := sym[p] * size + sym[i]) in pairs:
+                heappush(heap, (pairs[pair][0], p))
+        return [s for s in sym if s >= 0]
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, with long words merged by themselves."""
+        long = {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        ids, ends = self.merge([w for i, w in enumerate(words) if i not in long])
+        if not long:
+            return ids, ends
+        short = iter(np.split(ids, ends[1:-1]) if len(ends) > 1 else [])
+        every = [np.array(long[i]) if i in long else next(short) for i in range(len(words))]
+        return np.concatenate(every), np.append(0, np.cumsum([len(e) for e in every]))
+
     def _learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces that the cache lacks, all in one batch."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
+        """Encodes the pieces that the cache lacks, all in one batch; long ones are kept for these texts only."""
+        self.once = {}
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-            new = list(pieces)
+            self.held = 0
+        new = [p for p in pieces if p not in self.cache]
         if not new:
             return
         cut = list(map(pre_tokens, new))
         place: dict[str, int] = {}
         parts = np.fromiter((place.setdefault(w, len(place)) for w in chain.from_iterable(cut)), dtype=np.int64)
-        ids, ends = self.merge([w.encode() for w in place])
+        ids, ends = self._merged([w.encode() for w in place])
         n_parts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         size = np.diff(ends)[parts]
         stop = np.cumsum(size)
@@ -170,8 +226,13 @@ class Bpe:
         text, raw = list(map(self.text_of.__getitem__, flat)), list(map(self.bytes_of.__getitem__, flat))
         at = 0
         for piece, to in zip(new, stop[np.cumsum(n_parts) - 1].tolist()):
-            self.cache[piece] = (",".join(text[at:to]), to - at, b"".join(raw[at:to]))
+            told = (",".join(text[at:to]), to - at, b"".join(raw[at:to]))
             at = to
+            if len(piece) > LONG_PIECE:
+                self.once[piece] = told
+            else:
+                self.cache[piece] = told
+                self.held += 250 + 2 * len(piece) + len(told[0]) + len(told[2])
 
     def encode(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, bytes]]]:
         """For each text, its encoded runs: (ids as text, number of ids, decoded bytes)."""
@@ -180,7 +241,9 @@ class Bpe:
         special = [[[r] if k % 2 else pieces(r) for k, r in enumerate(runs)] for runs in runs_of]
         self._learn(set(chain.from_iterable([*cut, *(run for runs in special for run in runs[::2])])))
         fixed = {s: (str(i), 1, s.encode()) for s, i in self.special.items()}
-        get, plain, special = self.cache.__getitem__, iter(cut), iter(special)
+        held, once = self.cache, self.once
+        get = (lambda p: held[p] if p in held else once[p]) if once else held.__getitem__
+        plain, special = iter(cut), iter(special)
         for t in texts:
             if self._has_special(t):
                 yield list(chain.from_iterable([fixed[run[0]]] if k % 2 else map(get, run) for k, run in enumerate(next(special))))

@@ -13,6 +13,7 @@ empty table writes no document; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,45 +24,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspring.llm.bpe import byte_symbols, crowded, pieces, pre_tokens
+from marlspring.llm.bpe import LONG_PIECE, byte_symbols, crowded, pieces, plain_byte_level, pre_tokens
 from marlspring.llm.common import environment, slices, text_of
 
 SCHEMA = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
-#: Pieces and pre-tokens whose ids a worker keeps before it starts anew.
-CACHE_PIECES, CACHE_WORDS = 500_000, 300_000
+#: Bytes of pieces and pre-tokens with their ids that a worker keeps of each kind before it starts anew.
+CACHE_BYTES = 64 << 20
 
 
-class _Words(dict):
-    """The ids of pre-tokens by the library's model, as bytes."""
+class _Bounded(dict):
+    """Ids (as bytes) by string, made when they lack; bounded by bytes, and long strings are never kept."""
+
+    held = 0
+
+    def keep(self, key: str, got: bytes) -> bytes:
+        if len(key) <= LONG_PIECE:
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[key] = got
+            self.held += 200 + len(key) + len(got)
+        return got
+
+
+class _Words(_Bounded):
+    """The ids of pre-tokens by the library's model."""
 
     def __init__(self, model):
         self.model, self.symbols = model, str.maketrans(dict(enumerate(byte_symbols())))
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
-        self[word] = got
-        return got
+        return self.keep(word, array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes())
 
 
-class _Pieces(dict):
-    """The ids of pieces that follow a space (``before`` = " ") or nothing, as bytes."""
+class _Pieces(_Bounded):
+    """The ids of pieces that follow a space (``before`` = " ") or nothing."""
 
     def __init__(self, words: _Words, before: str):
         self.words, self.before = words, before
 
     def __missing__(self, piece: str) -> bytes:
         parts = pre_tokens(self.before + piece) if self.before or piece else []
-        got = self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[w] for w in parts])
-        self[piece] = got
-        return got
+        return self.keep(piece, self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[w] for w in parts]))
 
 
 class LibraryEncoder:
     """The tokenizers library over distinct pieces of texts, whose ids a worker keeps (bounded).
 
     A text is cut into pre-tokens by the byte-level pattern; the library's model encodes each distinct one.
+    Where the file names another pattern or a normalizer, the library encodes the texts itself.
     """
 
     def __init__(self, path: str):
@@ -72,18 +83,17 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.plain = plain_byte_level(json.load(f))
         words = _Words(self.tokenizer.model)
         self.spaced, self.whole = _Pieces(words, " "), _Pieces(words, "")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        for cache in (self.spaced, self.whole):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
         for t in texts:
             if not t:
                 yield b""
-            elif any(s in t for s in self.specials):
+            elif not self.plain or any(s in t for s in self.specials):
                 yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
             elif crowded(t):
                 yield b"".join(map(self.whole.__getitem__, pieces(t)))

@@ -1,15 +1,19 @@
 import hashlib
 import re
+import time
+from array import array
 from collections import Counter
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from marlspring.llm import bpe as B
 from marlspring.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from marlspring.llm.decontamination import decontaminate, decontaminated
 from marlspring.llm.language import codewords, language_filter, language_id
 from marlspring.llm.licenses import Automaton, license_scan
+from marlspring.llm import quality
 from marlspring.llm.quality import quality_filter, quality_rules
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -152,3 +156,73 @@ def test_codewords_are_distinct():
     for n in (2, 3, 4, 6, 9, 40):
         code = codewords(n)
         assert len({tuple(c) for c in code}) == n and (abs(code.sum(axis=0)) < n).all()
+
+
+def test_texts_whose_positions_do_not_fit_are_counted_by_whole_hashes(documents, monkeypatch):
+    want = {(r.doc_id, r.n_repeat_words) for r in quality.quality_rules(documents).collect()}
+    monkeypatch.setattr(quality, "_INDEX_BITS", 4)
+    assert {(r.doc_id, r.n_repeat_words) for r in quality.quality_rules(documents).collect()} == want
+
+
+def test_rules_are_ordered_by_what_is_left_for_them(spark):
+    """A rule that only rejects what another has rejected before comes after one with rejections of its own."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(80)) + (" " + "!" * 150 if k % 2 else "") + (" ://" if k % 4 == 0 else "")) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loud = "length(text) - length(replace(text, '!', '')) > 100"
+    rules = (quality.Rule("loud", loud), quality.Rule("loud_too", f"{loud} AND doc_id >= 0"), quality.Rule("links", "contains(text, '://')"))
+    monkey = quality.LEAST_COST
+    try:
+        quality.LEAST_COST = 1e6  # all rules cost the same
+        order = [r.name for r in quality.rule_order(docs, rules)]
+    finally:
+        quality.LEAST_COST = monkey
+    assert order.index("links") == 1 and order[0] in ("loud", "loud_too")
+
+
+def test_long_words_merge_as_short_ones_do():
+    import random
+
+    rng = random.Random(2)
+    tok = B.Bpe(PATH)
+    for word in ("a" * 3001, "".join(rng.choice("etaoinshr") for _ in range(2500)), "日本語" * 400, "ab" * 1000):
+        ids, _ = tok.merge([word.encode()])
+        assert tok.merge_long(word.encode()) == ids.tolist()
+    began = time.perf_counter()
+    (got,) = tok.encode(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))])
+    assert sum(n for _, n, _ in got) > 1000 and not tok.cache and time.perf_counter() - began < 60
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch, odd_texts):
+    from tokenizers import Tokenizer
+
+    from marlspring.llm import token_files as T
+
+    monkeypatch.setattr(B, "CACHE_BYTES", 3000)
+    monkeypatch.setattr(T, "CACHE_BYTES", 3000)
+    lib, tok, enc = Tokenizer.from_file(PATH), B.Bpe(PATH), T.LibraryEncoder(PATH)
+    for t in odd_texts:
+        want = lib.encode(t or "", add_special_tokens=False).ids
+        (one,) = tok.encode([t])
+        assert [int(i) for ids, _, _ in one if ids for i in ids.split(",")] == want
+        assert array("I", next(iter(enc.encode([t])))).tolist() == want
+    assert tok.held <= 3000 + 200 * B.LONG_PIECE and sum(map(len, enc.whole)) < 10_000
+
+
+def test_a_pattern_of_its_own_is_left_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from marlspring.llm import token_files as T
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "[0-9]|[^0-9]+"}, "behavior": "Isolated", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    text = "room 1234 of the house, 56x"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert array("I", next(iter(T.LibraryEncoder(path).encode([text])))).tolist() == want
+    with pytest.raises(ValueError, match="pre-tokenizer"):
+        B.Bpe(path)
