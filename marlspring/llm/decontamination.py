@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspring.llm.common import numbered, slices, text_of, written
+from marlspring.llm.common import numbered, passing_tables, slices, text_of, written
 from marlspring.llm.hashing import runs, word_hashes
 
 #: Words of a window and of a shingle.
@@ -38,6 +38,8 @@ WINDOW, SHINGLE = 10, 3
 BITMAP_BITS = 1 << 25
 #: Distinct shingles that a task counts before it passes its counts on.
 COUNTED = 200_000
+#: Places of a document in one row.
+PLACES = 1000
 #: Words are runs of other bytes once A-Z are lower case.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -46,26 +48,26 @@ def fold(text: str | None) -> bytes:
     return (text or "").encode().translate(_FOLD)
 
 
-def benchmark_shingles(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Each shingle of each window: item_id, t (a digest of the item's words), s (the window's start), p (the shingle's start), h, k, words of the window."""
+def benchmark_shingles(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Each shingle of each item: item_id, t (a digest of the item's words), n (their number), p (the shingle's start), h, k, and at p = 0 the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["item_id", "t", "n", "p", "h", "k", "words"]
         for batch in batches:
-            out: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = fold(text).split()
                 if not words or item is None:
                     continue
-                n, k = min(window, len(words)), min(shingle, len(words))
-                h = runs(word_hashes([b" ".join(words)])[0], k).astype(np.int64).tolist()
+                n, k = len(words), min(shingle, len(words))
+                h = runs(word_hashes([b" ".join(words)])[0], k).astype(np.int64)
+                m = len(h)
                 t = hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest()
-                names = [w.decode() for w in words]
-                out += [(item, t, s, p, h[p], k, names[s : s + n]) for s in range(len(words) - n + 1) for p in range(s, s + n - k + 1)]
-            cols = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["item_id", "t", "s", "p", "h", "k", "words"])
+                told = pa.array([[w.decode() for w in words], *[None] * (m - 1)], pa.list_(pa.string()))
+                columns = [pa.array(np.full(m, item)), pa.array([t] * m), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(h), pa.array(np.full(m, k, np.int32)), told]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id long, t string, s int, p int, h long, k int, words array<string>")
+    return items.mapInArrow(run, "item_id long, t string, n int, p int, h long, k int, words array<string>")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -120,56 +122,80 @@ def shingle_frequency(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
 
 
 def prefix_places(docs: DataFrame, sizes: list[int], bits, window: int = WINDOW) -> DataFrame:
-    """rid, doc_id, n_words and the places of prefix shingles: position, hash, and the words from ``lo`` on around it."""
+    """rid, doc_id, n_words of each document (own), and its places of prefix shingles: position, hash, and the words from ``lo`` on around it.
+
+    A row holds ``PLACES`` places at most; a document with more has further rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         place = pa.struct([("pos", pa.int32()), ("h", pa.int64()), ("lo", pa.int32()), ("near", pa.list_(pa.string()))])
+        rows: list[tuple] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(place))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, kinds)], ["rid", "doc_id", "n_words", "own", "places"])
+
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [fold(t) for t in part.column(1).to_pylist()]
                 who, pos, h, ends = _places(texts, sizes, bits.value)
-                found: list[list] = [[] for _ in texts]
-                words: dict[int, list[bytes]] = {}
-                for i, p, x in zip(who.tolist(), pos.tolist(), h.astype(np.int64).tolist()):
-                    if i not in words:
-                        words[i] = texts[i].split()
-                    lo = max(0, p - window + 1)
-                    found[i].append({"pos": p, "h": x, "lo": lo, "near": [w.decode() for w in words[i][lo : p + window]]})
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + n)), part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(found, pa.list_(place))], ["rid", "doc_id", "n_words", "places"])
-                rid += n
-
-    return docs.mapInArrow(run, "rid long, doc_id long, n_words long, places array<struct<pos: int, h: long, lo: int, near: array<string>>>")
+                order = np.argsort(who, kind="stable")
+                who, pos, h = who[order], pos[order].tolist(), h[order].astype(np.int64).tolist()
+                starts = np.searchsorted(who, np.arange(len(texts) + 1)).tolist()
+                for i, (doc_id, n_words) in enumerate(zip(part.column(0).to_pylist(), np.diff(ends).tolist())):
+                    first, last = starts[i], starts[i + 1]
+                    words = texts[i].split() if last > first else []
+                    for k in range(first, max(last, first + 1), PLACES):
+                        found = [{"pos": p, "h": x, "lo": max(0, p - window + 1), "near": [w.decode() for w in words[max(0, p - window + 1) : p + window]]} for p, x in zip(pos[k : min(last, k + PLACES)], h[k : min(last, k + PLACES)])]
+                        rows.append((rid, doc_id, n_words, k == first, found))
+                        held += 1 + len(found)
+                        if held > 16 * PLACES:
+                            yield out()
+                            rows.clear()
+                            held = 0
+                    rid += 1
+        if rows:
+            yield out()
+
+    return docs.mapInArrow(run, "rid long, doc_id long, n_words long, own boolean, places array<struct<pos: int, h: long, lo: int, near: array<string>>>")
+
+
+def prefixes(bench: DataFrame, frequency: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """item_id, h, p, w (words of a window), starts (of the windows whose rarest shingle this is), lo and span (the item's words from there on)."""
+    rows = bench.select("item_id", "t", "n", "p", "h").distinct().join(frequency, "h", "left")
+    ahead = Window.partitionBy("item_id", "t").orderBy("p").rowsBetween(0, window - shingle)  # the shingles of the window that starts here
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "p")).over(ahead)
+    w = F.least(F.lit(window), F.col("n"))
+    ranked = rows.select("item_id", "t", w.alias("w"), F.col("p").alias("s"), "n", rarest.alias("r")).where("s <= n - w")
+    starts = ranked.groupBy("item_id", "t", "w", F.col("r.h").alias("h"), F.col("r.p").alias("p")).agg(F.collect_set("s").alias("starts"))
+    words = bench.where("p = 0").select("t", "words").dropDuplicates(["t"])
+    lo = F.array_min("starts")
+    return starts.join(words, "t").select("item_id", "h", "p", "w", "starts", lo.alias("from"), F.slice("words", lo + 1, F.array_max("starts") + F.col("w") - lo).alias("span"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and rid (a number of the row)."""
     spark, docs = documents.sparkSession, text_of(documents)
-    bench = written(benchmark_shingles(benchmark, window, shingle))
-    sizes = sorted(r.k for r in bench.select("k").distinct().collect())  # at most `shingle` values
     share = spark.sparkContext.broadcast
-    frequency = shingle_frequency(docs, sizes, share(bitmap(bench)))
-    # The window's rarest shingle; windows of an item's text with the same one at the same place are one row.
-    ranked = bench.join(frequency, "h", "left").groupBy("item_id", "t", "s").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "p", "words")).alias("r"))
-    prefixes = written(
-        ranked.select("item_id", "t", F.col("r.h").alias("h"), F.col("r.p").alias("p"), F.struct("s", F.col("r.words").alias("words")).alias("w"))
-        .groupBy("item_id", "t", "h", "p")
-        .agg(F.collect_set("w").alias("windows"))
-    )
-    found = written(prefix_places(docs, sizes, share(bitmap(prefixes)), window))
+    with passing_tables(spark) as keep:
+        bench = written(benchmark_shingles(benchmark, shingle))
+        sizes = sorted(r.k for r in bench.select("k").distinct().collect())  # at most `shingle` values
+        rare = keep(written(prefixes(bench, shingle_frequency(docs, sizes, share(bitmap(bench))), window, shingle)))
+        found = keep(written(prefix_places(docs, sizes, share(bitmap(rare)), window)))
     place = found.where("size(places) > 0").select("rid", "n_words", F.explode("places").alias("q")).select("rid", "n_words", "q.*")
     # Item word p stands at document word pos, so the window at s starts at pos - p + s.
     starts = F.expr(
-        "transform(filter(windows, w -> pos - p + w.s >= lo AND pos - p + w.s + size(w.words) <= n_words"
-        " AND slice(near, pos - p + w.s - lo + 1, size(w.words)) = w.words), w -> struct(pos - p + w.s AS a, pos - p + w.s + size(w.words) AS b))"
+        "transform(filter(starts, s -> pos - p + s >= lo AND pos - p + s + w <= n_words"
+        " AND slice(near, pos - p + s - lo + 1, w) = slice(span, s - from + 1, w)), s -> struct(pos - p + s AS a, pos - p + s + w AS b))"
     )
-    hit = place.join(prefixes, "h").select("rid", "item_id", starts.alias("m")).where("size(m) > 0").select("rid", "item_id", F.array_min("m.a").alias("a"), F.array_max("m.b").alias("b"))
+    hit = place.join(rare, "h").select("rid", "item_id", starts.alias("m")).where("size(m) > 0").select("rid", "item_id", F.array_min("m.a").alias("a"), F.array_max("m.b").alias("b"))
     before = Window.partitionBy("rid").orderBy("a", "b", "item_id").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(F.max("b").over(before), F.lit(0))))
     hits = hit.withColumn("fresh", fresh).groupBy("rid").agg(F.sum("fresh").alias("n_hit"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     items = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
-    return found.select("rid", "doc_id", "n_words").join(hits, "rid", "left").select(
+    return found.where("own").select("rid", "doc_id", "n_words").join(hits, "rid", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -226,3 +226,15 @@ def test_a_pattern_of_its_own_is_left_to_the_library(tmp_path):
     assert array("I", next(iter(T.LibraryEncoder(path).encode([text])))).tolist() == want
     with pytest.raises(ValueError, match="pre-tokenizer"):
         B.Bpe(path)
+
+
+def test_places_of_a_long_document_fill_several_rows(spark, monkeypatch):
+    from marlspring.llm import decontamination as D
+
+    monkeypatch.setattr(D, "PLACES", 7)
+    item = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, " ".join([item] * 20) + " tail"), (2, "none of it"), (3, None), (4, "x " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (5, item), (6, "w38 w39")], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate(docs, bench).collect()}
+    assert found == {1: (801, 800, 2), 2: (3, 0, 0), 3: (0, 0, 0), 4: (41, 40, 2)}
