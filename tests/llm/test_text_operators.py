@@ -12,6 +12,7 @@ from marlspring.llm import bpe as B
 from marlspring.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from marlspring.llm.decontamination import decontaminate, decontaminated
 from marlspring.llm.language import codewords, language_filter, language_id
+from marlspring.llm import licenses as L
 from marlspring.llm.licenses import Automaton, license_scan
 from marlspring.llm import quality
 from marlspring.llm.quality import quality_filter, quality_rules
@@ -238,3 +239,40 @@ def test_places_of_a_long_document_fill_several_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(5, item), (5, item), (6, "w38 w39")], "item_id long, text string")
     found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate(docs, bench).collect()}
     assert found == {1: (801, 800, 2), 2: (3, 0, 0), 3: (0, 0, 0), 4: (41, 40, 2)}
+
+
+def brute_labels(words):
+    """The labels and score by regular expressions made of the templates, tried at every word."""
+    text = "".join(" " + w for w in words)
+    starts = [m.start() for m in re.finditer(" ", text)]
+    found, score = set(), 0.0
+    for kind, templates in (("text", L.TEXTS), ("notice", L.NOTICES)):
+        for label, markup in templates:
+            parts = re.findall(r"<<(optional|var): ([^>]*)>>|(\S+)", markup)
+            made = "".join("(?:" + "".join(" " + re.escape(w) for w in inner.split()) + ")?" if kind_ == "optional" else rf"(?: \S+){{0,{inner}}}" if kind_ == "var" else " " + re.escape(word) for kind_, inner, word in parts)
+            pattern = re.compile(made + r"(?= |\Z)")
+            for k, at in enumerate(starts):
+                if pattern.match(text, at) and not (kind == "notice" and {"not", "never", "isn", "don", "nor", "without"} & set(words[max(0, k - 4) : k])):
+                    found.add(label)
+                    score = max(score, {"text": 1.0, "notice": 0.9}[kind])
+    return found, score
+
+
+def test_licence_labels_equal_brute_force(spark, clashing, odd_texts):
+    import random
+
+    rng = random.Random(8)
+    said = ["Not released under the MIT License.", "It is never, ever licensed under the Apache License, Version 2.0!", "not this: released under the MIT license", "copyright 2020 by a b c all rights reserved", None, ""]
+    for label, markup in L.TEXTS:
+        filled = re.sub(r"<<var: \d+>>", lambda m: " ".join(f"name{rng.randrange(9)}" for _ in range(rng.randrange(3))), markup)
+        whole = re.sub(r"<<optional: ([^>]*)>>", lambda m: m[1] if rng.random() < 0.5 else "", filled).split()
+        said += [f"Title of {label}\n\n" + " ".join(whole).upper() + " and more", " ".join(whole[:-1]), " ".join([*whole[:9], "other", *whole[9:]]), " ".join(whole) + " " + " ".join(whole)]
+    texts = [*odd_texts, *said]
+    rows = clashing.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(said, len(odd_texts))), "doc_id long, text string"))
+    found = {r.doc_id: r for r in license_scan(rows.union(rows.where("doc_id % 7 = 0"))).collect()}
+    for k, t in enumerate(texts):
+        labels, score = brute_labels(re.findall(ALNUM, lower(t)))
+        base = set(found[k].base_labels.split(",")) - {""}
+        assert (found[k].labels, found[k].score) == (",".join(sorted(labels | base)), score or (0.5 if base else 0.0)), (t or "")[:80]
+    accepted = [found[k].score for k in range(len(odd_texts) + 6, len(texts))]
+    assert accepted[0::4] == [1.0] * len(L.TEXTS) == accepted[3::4] and max(accepted[1::4] + accepted[2::4]) < 1.0
