@@ -77,15 +77,16 @@ def popularity(items: DataFrame, views: Column, rating: Column, age_days: Column
     return items.withColumn("popularity", (0.1 * views + 0.5 * rating) * F.exp(-0.1 * age_days))
 
 
-def similar_users(ratings: DataFrame, k: int = 10) -> DataFrame:
-    """user, other, similarity: cosine over shared items; the k most similar. ratings (user, item, r) are one row per pair.
+def similar_users(ratings: DataFrame, asked: DataFrame, k: int = 10, salts: int = 16) -> DataFrame:
+    """user, other, similarity: cosine over shared items; of each user asked for, the k most similar of all users.
 
-    Items that nearly everyone has would pair all users; the caller's table has one row for each user
-    and item, and the join is on the item, so a hot item is split by AQE.
+    ratings, asked: (user, item, r), one row per pair; ``asked`` is a stated query set. An item that very many
+    have is dealt over ``salts`` tasks: all users' rows by a hash of the user, the asked ones' to each.
     """
     norm = ratings.groupBy("user").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    a, b = ratings, ratings.select(F.col("user").alias("other"), "item", F.col("r").alias("r2"))
-    d = a.join(b, "item").where("user <> other").groupBy("user", "other").agg(F.sum(F.col("r") * F.col("r2")).alias("dot"))
+    a = asked.select("user", "item", "r").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = ratings.select(F.col("user").alias("other"), "item", F.col("r").alias("r2"), F.pmod(F.xxhash64("user"), F.lit(salts)).cast("int").alias("salt"))
+    d = a.join(b, ["item", "salt"]).where("user <> other").groupBy("user", "other").agg(F.sum(F.col("r") * F.col("r2")).alias("dot"))
     s = d.join(norm, "user").join(norm.select(F.col("user").alias("other"), F.col("norm").alias("norm2")), "other")
     s = s.select("user", "other", F.floor(share(F.col("dot"), F.col("norm") * F.col("norm2")) * 1_000_000 + 0.5).cast("long").alias("similarity"))
     return s.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("similarity"), "other"))).where(F.col("k") <= k).drop("k")

@@ -27,9 +27,9 @@ def phrases(c: Column) -> Column:
 
 def distinct_ignoring_case(c: Column, cap: int) -> Column:
     """The first of equal texts (case ignored), in order, ``cap`` at most."""
-    lower = F.transform(c, F.lower)
-    kept = F.filter(c, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
-    return F.slice(kept, 1, cap)
+    none = F.array().cast("array<string>")
+    fresh = lambda kept, x: (F.size(kept) < cap) & ~F.exists(kept, lambda k: F.lower(k) == F.lower(x))
+    return F.aggregate(c, none, lambda kept, x: F.when(fresh(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
 
 
 def canonical(c: Column, rules: list[tuple[str, str]], cap: int, max_words: int = 12) -> Column:

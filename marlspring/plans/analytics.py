@@ -14,12 +14,14 @@ P = "floor(({}) * 1000000 + 0.5)::BIGINT"
 
 @register(
     "correlation_pairs",
-    f"""WITH c AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
-    p AS (SELECT n, 'l_quantity' AS a, 'l_extendedprice' AS b, a AS r FROM c UNION ALL SELECT n, 'l_quantity', 'l_discount', b FROM c UNION ALL SELECT n, 'l_extendedprice', 'l_discount', c FROM c)
+    f"""WITH d AS (SELECT n_chars AS chars, len(regexp_extract_all(text, '[a-z]+')) AS words, doc_id AS id FROM documents),
+    c AS (SELECT count(*) AS n, corr(chars, words) AS a, corr(chars, id) AS b, corr(words, id) AS c FROM d),
+    p AS (SELECT n, 'chars' AS a, 'words' AS b, a AS r FROM c UNION ALL SELECT n, 'chars', 'id', b FROM c UNION ALL SELECT n, 'words', 'id', c FROM c)
     SELECT a, b, {P.format("r")} AS r, CASE WHEN abs(r) > 0.8 THEN 'strong' WHEN abs(r) > 0.5 THEN 'moderate' ELSE 'weak' END AS strength, {P.format("CASE WHEN abs(r) * sqrt((n - 2) / (1 - r * r)) > 2 THEN 0.05 ELSE 0.1 END")} AS significance FROM p WHERE abs(r) >= 0.3""",
 )
 def correlation_pairs(spark, sf):
-    c = N.correlations(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 0.3)
+    d = table(spark, sf, "documents").select(F.col("n_chars").alias("chars"), F.regexp_count("text", F.lit("[a-z]+")).alias("words"), F.col("doc_id").alias("id"))
+    c = N.correlations(d, ["chars", "words", "id"], 0.3)
     return c.select("a", "b", q6(F.col("r")).alias("r"), "strength", q6(F.col("significance")).alias("significance"))
 
 
@@ -94,19 +96,25 @@ def preference_weights(spark, sf):
     return N.preference_weights(e, "user_id", "feature", {"view": 1.0, "click": 2.0, "purchase": 5.0}).withColumn("weight", q6(F.col("weight")))
 
 
-RATED = "r AS (SELECT o_custkey AS u, l_partkey % 50 AS item, count(*) AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0 GROUP BY 1, 2)"
-SIMILAR = f"""{RATED}, nm AS (SELECT u, sqrt(sum(r * r)) AS n FROM r GROUP BY 1), dt AS (SELECT a.u, b.u AS o, sum(a.r * b.r) AS d FROM r a JOIN r b ON a.item = b.item AND a.u <> b.u GROUP BY 1, 2),
+#: The users asked for are those whose key is divisible by 100, against all users.
+RATED = "r AS (SELECT o_custkey AS u, l_partkey AS item, count(*) AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+SIMILAR = f"""{RATED}, nm AS (SELECT u, sqrt(sum(r * r)) AS n FROM r GROUP BY 1), dt AS (SELECT a.u, b.u AS o, sum(a.r * b.r) AS d FROM r a JOIN r b ON a.item = b.item AND a.u <> b.u AND a.u % 100 = 0 GROUP BY 1, 2),
 sm AS (SELECT dt.u, o, {P.format("d / (x.n * y.n)")} AS s FROM dt JOIN nm x ON x.u = dt.u JOIN nm y ON y.u = o QUALIFY row_number() OVER (PARTITION BY dt.u ORDER BY s DESC, o) <= 10)"""
 
 
 def _rated(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 10 = 0")
-    return o.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("user"), (F.col("l_partkey") % 50).alias("item")).agg(F.count("*").alias("r"))
+    o = table(spark, sf, "orders")
+    return o.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.count("*").alias("r"))
+
+
+def _asked(rated):
+    return rated.where("user % 100 = 0")
 
 
 @register("similar_users", f'WITH {SIMILAR} SELECT u AS "user", o AS other, s AS similarity FROM sm')
 def similar_users(spark, sf):
-    return N.similar_users(_rated(spark, sf))
+    r = _rated(spark, sf)
+    return N.similar_users(r, _asked(r))
 
 
 CF = f"{SIMILAR}, cf AS (SELECT sm.u, r.item, sum(s * r.r)::BIGINT AS score FROM sm JOIN r ON r.u = sm.o WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.u = sm.u AND x.item = r.item) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY sm.u ORDER BY score DESC, r.item) <= 10)"
@@ -115,12 +123,12 @@ CF = f"{SIMILAR}, cf AS (SELECT sm.u, r.item, sum(s * r.r)::BIGINT AS score FROM
 @register("recommend_items", f'WITH {CF} SELECT u AS "user", item, score FROM cf')
 def recommend_items(spark, sf):
     r = _rated(spark, sf)
-    return N.recommend(r, N.similar_users(r))
+    return N.recommend(r, N.similar_users(r, _asked(r)))
 
 
 @register(
     "recommend_merged",
-    f"""WITH {CF}, pop AS (SELECT item, sum(r)::BIGINT AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), us AS (SELECT DISTINCT u FROM r),
+    f"""WITH {CF}, pop AS (SELECT item, sum(r)::BIGINT AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), us AS (SELECT DISTINCT u FROM r WHERE u % 100 = 0),
     pu AS (SELECT u, item, score FROM us, pop WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.u = us.u AND x.item = pop.item)), m AS (SELECT *, 0 AS source FROM cf UNION ALL SELECT *, 1 FROM pu),
     f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY u, item ORDER BY source) = 1)
     SELECT u AS "user", item, score, source FROM f QUALIFY row_number() OVER (PARTITION BY u ORDER BY score DESC, source, item) <= 10""",
@@ -128,8 +136,8 @@ def recommend_items(spark, sf):
 def recommend_merged(spark, sf):
     r = _rated(spark, sf)
     top = r.groupBy("item").agg(F.sum("r").alias("score")).orderBy(F.desc("score"), "item").limit(20)
-    popular = r.select("user").distinct().crossJoin(F.broadcast(top)).join(r.select("user", "item"), ["user", "item"], "left_anti")  # top is 20 rows
-    return N.merge_recommendations([N.recommend(r, N.similar_users(r)), popular])
+    popular = _asked(r).select("user").distinct().crossJoin(F.broadcast(top)).join(r.select("user", "item"), ["user", "item"], "left_anti")  # top is 20 rows
+    return N.merge_recommendations([N.recommend(r, N.similar_users(r, _asked(r))), popular])
 
 
 @register("popularity", f"SELECT p_partkey, {P.format('(0.1 * p_size + 0.5 * (p_retailprice / 1000)) * exp(-0.1 * (p_partkey % 30))')} AS popularity FROM part")
@@ -162,10 +170,10 @@ def intent_scores(spark, sf):
     "entities",
     r"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b\d+(?:\.\d+)?\b'))), ',') AS numbers, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?%'))), ',') AS percents,
     array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b[A-Za-z0-9_-]+\.(?:pdf|csv|json|xlsx)\b'))), ',') AS files, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'))), ',') AS dates
-    FROM (SELECT conv_id, turn, left(regexp_replace(text, '[^ -~]', ' ', 'g'), 60) || ' ' || turn || '.5% in run_' || conv_id || '.csv on 2024-01-0' || (turn % 9) AS text FROM conversations)""",
+    FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', ' ', 'g') || ' ' || turn || '.5% in run_' || conv_id || '.csv on 2024-01-0' || (turn % 9) AS text FROM conversations)""",
 )
 def entities(spark, sf):
-    t = F.concat(F.left(F.regexp_replace("text", "[^ -~]", " "), F.lit(60)), F.lit(" "), "turn", F.lit(".5% in run_"), "conv_id", F.lit(".csv on 2024-01-0"), (F.col("turn") % 9))
+    t = F.concat(F.regexp_replace("text", "[^ -~]", " "), F.lit(" "), "turn", F.lit(".5% in run_"), "conv_id", F.lit(".csv on 2024-01-0"), (F.col("turn") % 9))
     return N.entities(table(spark, sf, "conversations").select("conv_id", "turn", t.alias("text")))
 
 

@@ -47,12 +47,12 @@ def last_source(spark, sf):
 
 @register(
     "set_comparison",
-    """WITH a AS (SELECT p_type, list(DISTINCT p_brand) AS x FROM part WHERE p_size < 10 AND p_partkey < 600 GROUP BY 1), b AS (SELECT p_type, list(DISTINCT p_brand) AS y FROM part WHERE p_size >= 10 AND p_partkey < 600 GROUP BY 1),
+    """WITH a AS (SELECT p_type, list(DISTINCT p_brand) AS x FROM part WHERE p_size < 10 GROUP BY 1), b AS (SELECT p_type, list(DISTINCT p_brand) AS y FROM part WHERE p_size >= 10 GROUP BY 1),
     j AS (SELECT p_type, coalesce(x, []) AS x, coalesce(y, []) AS y FROM a FULL JOIN b USING (p_type)), s AS (SELECT *, len(list_intersect(x, y)) AS i FROM j)
     SELECT p_type, len(x) AS n_a, len(y) AS n_b, i AS "both", len(x) - i AS only_a, len(y) - i AS only_b, floor(coalesce(i / nullif(len(x) + len(y) - i, 0)::DOUBLE, 0) * 1000 + 0.5)::BIGINT AS jaccard_m, i = len(x) AND len(x) < len(y) AS subset FROM s""",
 )
 def set_comparison(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 600")
+    p = table(spark, sf, "part")
     return G.set_comparison(p.where("p_size < 10"), p.where("p_size >= 10"), "p_type", "p_brand")
 
 
@@ -138,11 +138,11 @@ def batch_action(spark, sf):
 
 @register(
     "shadowed_attempts",
-    """WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(left(text, 40)), '[a-z]')) AS c FROM conversations), p AS (SELECT a.conv_id, a.turn, b.turn AS o, len(list_intersect(a.c, b.c)) AS i, len(a.c) AS n, len(b.c) AS m FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn < a.turn)
+    """WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]')) AS c FROM conversations), p AS (SELECT a.conv_id, a.turn, b.turn AS o, len(list_intersect(a.c, b.c)) AS i, len(a.c) AS n, len(b.c) AS m FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn < a.turn)
     SELECT conv_id, turn, o AS "by" FROM p WHERE i >= 4 AND i / n::DOUBLE >= 0.8 AND i / m::DOUBLE >= 0.8 AND n - i <= 1 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY i DESC, o) = 1""",
 )
 def shadowed_attempts(spark, sf):
-    a = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(40))), F.lit("[a-z]"), F.lit(0))).alias("c"))
+    a = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]"), F.lit(0))).alias("c"))
     return G.shadowed(a, "conv_id", "turn", "c")
 
 
@@ -204,9 +204,14 @@ def error_summary(spark, sf):
     return G.counts_with_last(e, "user_id", "event_id", 3)
 
 
-@register("metadata_backfill", r"SELECT page_id, coalesce(nullif(t, ''), 'host ' || regexp_extract(url, '://([^/?#:]*)', 1)) AS title FROM (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN '' ELSE trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) END AS t FROM pages) WHERE page_id % 3 = 0")
+@register(
+    "metadata_backfill",
+    r"""WITH a AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS raw FROM pages),
+    b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(raw, '\s+', ' ', 'g'), '^[\s.,;:_-]+|[\s,;:_-]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM a)
+    SELECT page_id, CASE WHEN lower(t) NOT IN ('', 'unknown', 'untitled', 'none', 'null', 'n/a') THEN left(t, 200) ELSE 'host ' || regexp_extract(url, '://([^/?#:]*)', 1) END AS title FROM b""",
+)
 def metadata_backfill(spark, sf):
-    p = table(spark, sf, "pages").where("page_id % 3 = 0").withColumn("t", F.lit(""))
+    p = table(spark, sf, "pages").withColumn("t", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
     return p.select("page_id", F.coalesce(clean_title(F.col("t")), F.concat(F.lit("host "), F.regexp_extract("url", "://([^/?#:]*)", 1))).alias("title"))
 
 

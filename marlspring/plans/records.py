@@ -56,23 +56,23 @@ KNOWN = {"ring": "Ring", "bolt": "Bolt", "gear": "Gear"}
 
 @register(
     "normalized_names",
-    r"""WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand AS t FROM part), c AS (SELECT p_partkey, t, regexp_extract_all(t, 'Brand#\d+') || list_transform(regexp_extract_all(lower(t), '\b(ring|bolt|gear)\b', 1), lambda w: upper(w[1]) || w[2:]) AS l FROM p WHERE p_partkey % 2 = 0)
+    r"""WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand AS t FROM part), c AS (SELECT p_partkey, t, regexp_extract_all(t, 'Brand#\d+') || list_transform(regexp_extract_all(lower(t), '\b(ring|bolt|gear)\b', 1), lambda w: upper(w[1]) || w[2:]) AS l FROM p)
     SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], '; ') AS name FROM c""",
 )
 def normalized_names(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 2 = 0")
+    p = table(spark, sf, "part")
     return p.select("p_partkey", E.names(F.concat_ws(" ", "p_name", "p_brand"), r"Brand#\d+", KNOWN).alias("name"))
 
 
 @register(
     "aligned_tokens",
-    r"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(left(text, 300)), '[a-z]+') AS t FROM documents),
+    r"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents),
     k AS (SELECT doc_id, t, list_filter(t, lambda x: regexp_matches(x, '^th') OR NOT regexp_matches(x, 'on$|er$')) AS k FROM a)
     SELECT doc_id, len(k)::BIGINT AS kept, (len(t) - len(k))::BIGINT AS removed, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ',') AS classes FROM
     (SELECT *, list_filter(list_transform(k, lambda x: CASE WHEN starts_with(x, 'th') THEN 'th' WHEN regexp_matches(x, 'ing') THEN 'ing' WHEN length(x) > 8 THEN 'long' END), lambda x: x IS NOT NULL) AS c FROM k)""",
 )
 def aligned_tokens(spark, sf):
-    t = F.regexp_extract_all(F.lower(F.left("text", F.lit(300))), F.lit("[a-z]+"), F.lit(0))
+    t = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     kept, removed = E.keep_matching(F.col("t"), "^th", "on$|er$")
     return d.select("doc_id", F.size(kept).cast("long").alias("kept"), F.size(removed).cast("long").alias("removed"), F.array_join(E.projected(kept, [("^th", "th"), ("ing", "ing"), (".{9,}", "long")]), ",").alias("classes"))
@@ -80,12 +80,12 @@ def aligned_tokens(spark, sf):
 
 @register(
     "chunk_vote",
-    f"""WITH {CHUNKS}, t AS (SELECT doc_id, chunk_index, regexp_extract_all(lower(left(content, 80)), '[a-z]+') AS t FROM chunks),
+    f"""WITH {CHUNKS}, t AS (SELECT doc_id, chunk_index, regexp_extract_all(lower(content), '[a-z]+') AS t FROM chunks),
     u AS (SELECT doc_id, flatten(list(t ORDER BY chunk_index)) AS l FROM t GROUP BY 1)
     SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], ',') AS tokens FROM u""",
 )
 def chunk_vote(spark, sf):
-    c = chunks(table(spark, sf, "documents")).withColumn("t", F.regexp_extract_all(F.lower(F.left("content", F.lit(80))), F.lit("[a-z]+"), F.lit(0)))
+    c = chunks(table(spark, sf, "documents")).withColumn("t", F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)))
     return E.vote(c, "doc_id", "chunk_index", "t", 8).select("doc_id", F.array_join("tokens", ",").alias("tokens"))
 
 
@@ -182,14 +182,14 @@ def answer_check(spark, sf):
 
 @register(
     "error_taxonomy",
-    f"""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 30)), '[a-z0-9]+')) AS p, CASE WHEN doc_id % 5 = 0 THEN []::VARCHAR[] WHEN doc_id % 3 = 0 THEN list_distinct(regexp_extract_all(lower(left(text, 30)), '[a-z0-9]+')) ELSE list_distinct(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')) END AS g FROM documents),
+    f"""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS p, CASE WHEN doc_id % 5 = 0 THEN []::VARCHAR[] WHEN doc_id % 3 = 0 THEN list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) ELSE list_distinct(regexp_extract_all(lower(regexp_replace(text, '[a-z]+[.]', 'end.', 'g')), '[a-z0-9]+')) END AS g FROM documents),
     c AS (SELECT doc_id, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 'both_empty' WHEN len(list_filter(p, lambda x: NOT list_contains(g, x))) = 0 AND len(list_filter(g, lambda x: NOT list_contains(p, x))) = 0 THEN 'match' WHEN len(p) = 0 THEN 'missed' WHEN len(g) = 0 THEN 'invented' ELSE 'mismatch' END AS category FROM a)
     SELECT k.category, count(doc_id) AS n, {P.format("count(doc_id) / (SELECT count(*) FROM c)::DOUBLE")} AS share, min(doc_id) AS first FROM (SELECT unnest(['both_empty', 'invented', 'match', 'mismatch', 'missed']) AS category) k LEFT JOIN c USING (category) GROUP BY 1""",
 )
 def error_taxonomy(spark, sf):
-    t = lambda n: F.array_distinct(tokens(F.left("text", F.lit(n))))
-    g = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 0, t(30)).otherwise(t(60))
-    c = table(spark, sf, "documents").select("doc_id", V.token_errors(t(30), g).alias("category"))
+    whole, other = F.array_distinct(tokens(F.col("text"))), F.array_distinct(tokens(F.regexp_replace("text", "[a-z]+[.]", "end.")))
+    g = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 0, whole).otherwise(other)
+    c = table(spark, sf, "documents").select("doc_id", V.token_errors(whole, g).alias("category"))
     return V.error_table(c, "category", "doc_id", ["both_empty", "invented", "match", "mismatch", "missed"]).withColumn("share", q6(F.col("share")))
 
 
@@ -248,11 +248,11 @@ def failure_budget(spark, sf):
 
 @register(
     "attempt_gate",
-    """WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(left(text, 25)), '[a-z]')) AS c FROM conversations)
+    """WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS c FROM conversations)
     SELECT conv_id, turn, EXISTS (SELECT 1 FROM a b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND len(list_filter(a.c, lambda x: NOT list_contains(b.c, x))) = 0) AS skipped FROM a""",
 )
 def attempt_gate(spark, sf):
-    a = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(25))), F.lit("[a-z]"), F.lit(0))).alias("c"))
+    a = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("c"))
     return L.attempt_gate(a, "conv_id", "turn", "c").select("conv_id", "turn", "skipped")
 
 

@@ -302,14 +302,14 @@ def citations(spark, sf):
 
 @register(
     "prf_token_set",
-    rf"""WITH a AS (SELECT lang AS field, list_distinct(regexp_extract_all(lower(left(text, 400)), '[a-z0-9]+')) AS p, list_distinct(regexp_extract_all(lower(substr(text, 200, 400)), '[a-z0-9]+')) AS g FROM documents),
+    rf"""WITH a AS (SELECT lang AS field, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS p, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[a-z]+[.]', 'end.', 'g')), '[a-z0-9]+')) AS g FROM documents),
     s AS (SELECT field, sum(len(list_intersect(p, g)))::BIGINT AS tp, sum(len(p) - len(list_intersect(p, g)))::BIGINT AS fp, sum(len(g) - len(list_intersect(p, g)))::BIGINT AS fn, count(*) AS samples FROM a WHERE len(p) > 0 OR len(g) > 0 GROUP BY 1)
     SELECT *, {Q6.format("tp / (tp + fp)::DOUBLE")} AS precision, {Q6.format("tp / (tp + fn)::DOUBLE")} AS recall, {Q6.format("2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE)")} AS f1 FROM s""",
 )
 def prf_token_set(spark, sf):
     from marlspring.functions.scalars import tokens
 
-    d = table(spark, sf, "documents").select(F.col("lang").alias("field"), tokens(F.left("text", F.lit(400))).alias("p"), tokens(F.substring("text", 200, 400)).alias("g"))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("field"), tokens(F.col("text")).alias("p"), tokens(F.regexp_replace("text", "[a-z]+[.]", "end.")).alias("g"))
     return M.set_scores(d, "doc_id", "field", "p", "g").select("field", "tp", "fp", "fn", "samples", *[q6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 

@@ -81,44 +81,58 @@ def markdown_table(df: DataFrame, columns: list[str], digits: int = 4, most: int
 
 
 class Collection:
-    """Chunks with vectors on Parquet, partitioned by a bucket of the document id."""
+    """Chunks with vectors on Parquet, partitioned by a bucket of the document id.
+
+    A version is a folder that never changes once its name is the current one's; a delete writes the next version
+    and then its marker file, so a reader sees all of the old version or all of the new one, and
+    a crash between leaves the old one.
+    """
 
     BUCKETS = 64
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._where = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._where(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _version(self) -> int:
+        """The highest version whose marker was written."""
+        if not self._fs.exists(self._where(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._where(self.path))]
+        return max((int(n.removeprefix("current-")) for n in names if n.startswith("current-")), default=0)
+
+    def _folder(self, version: int | None = None) -> str:
+        return f"{self.path}/v{self._version() if version is None else version}"
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(self._folder())
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.BUCKETS)).cast("int")
 
     def insert(self, chunks: DataFrame) -> None:
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.BUCKETS)).cast("int")
-        chunks.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(self.path)
+        chunks.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("bucket", self._bucket()).write.mode("append").partitionBy("bucket").parquet(self._folder())
 
     def scan(self, limit: int | None = None, offset: int = 0) -> DataFrame:
-        df = self.spark.read.parquet(self.path).drop("bucket")
+        df = self._rows().drop("bucket")
         return df if limit is None else df.orderBy("doc_id", "chunk_index").offset(offset).limit(limit)
 
     def of_document(self, doc_id: int) -> DataFrame:
         """One document's chunks: its bucket's folder is read and the id reaches the scan's filters."""
         bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id).cast("long")), F.lit(self.BUCKETS)).alias("b")).first().b
-        return self.spark.read.parquet(self.path).where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id)).drop("bucket")
+        return self._rows().where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id)).drop("bucket")
 
     def delete(self, doc_ids: DataFrame) -> None:
-        """Rewrites the buckets that hold one of the documents without them; the others stay untouched."""
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.BUCKETS)).cast("int"))
-        touched = [r.bucket for r in gone.select("bucket").distinct().collect()]  # 64 at most
-        if not touched:
-            return
-        held = self.spark.read.parquet(self.path).where(F.col("bucket").isin(touched))
-        kept = held.join(gone.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("bucket", "b")
-        staged = f"{self.path.rstrip('/')}__staged"
-        kept.write.mode("overwrite").parquet(staged)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for b in touched:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}"), True)
-        self.spark.read.parquet(staged).withColumnRenamed("b", "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
-        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+        """The collection without the documents, as its next version; the old version's folder goes last."""
+        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        old = self._version()
+        self._rows().join(gone, "doc_id", "left_anti").write.mode("overwrite").partitionBy("bucket").parquet(self._folder(old + 1))
+        self._fs.create(self._where(f"{self.path}/current-{old + 1}"), False).close()  # from here on the new version holds
+        self._fs.delete(self._where(self._folder(old)), True)
 
     def count(self) -> int:
-        return self.spark.read.parquet(self.path).count()
+        return self._rows().count()
 
     def migrate(self, to: Collection) -> DataFrame:
         """Copies every chunk to another collection; gives the keys that did not arrive (none, if all is well)."""

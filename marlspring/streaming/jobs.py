@@ -54,6 +54,29 @@ def run_once(stream: DataFrame, target: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
 
 
+def run_complete(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Writes the whole result after all that is available, windows still open included, and stops.
+
+    A batch writes a folder of its own and the last one is moved to the target, so readers never see half a result.
+    """
+    spark = stream.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done: list[str] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}__{batch}")
+        done.append(f"{target}__{batch}")
+
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf)
+    for path in done[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    if done:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(target), True)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(done[-1]), jvm.org.apache.hadoop.fs.Path(target))
+
+
 def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Calls work(rows, batch id) for each micro-batch; a batch that failed comes again with the same id."""
     q = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
