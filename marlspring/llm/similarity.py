@@ -62,7 +62,7 @@ BANDS = [1, 6, *(6 * 3**k for k in range(1, 18))]
 #: Counters of the frequency sketch (4 MB, whatever the corpus size), and pieces it is summed in.
 SKETCH, PIECES = 1 << 20, 64
 #: Members of a group, and bytes of their bitmaps, that are compared with as many others in one step.
-BLOCK, BLOCK_BYTES = 4096, 8 << 20
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
 #: Rounds in which every component is compared with one other of a group, then with its nearest ones, before the rest is compared in full.
 ROUNDS = ("hub", "nearest")
 #: Members of a group from which on its sets are first compared with their nearest ones only.
@@ -70,7 +70,7 @@ CROWD = 64
 #: Nearest sets that a set is compared with in such a round, and groups that a member's row names (more only cost repeated pairs).
 NEAREST, NAMED = 3, 16
 #: Bytes of text in a task's slice, and members of one signature that a slice sends on one by one.
-SLICE, SENT = 1_000_000, 8
+SLICE, SENT = 400_000, 8
 #: What a signature of a one-deletion neighbourhood costs more than a whole segment's.
 DELETION = 4
 #: Signature rows that a bucket is made for, keys of a group in one row, and tasks that a hot group's rows are dealt to.
@@ -535,11 +535,15 @@ def _cross_pairs(members: DataFrame, known: DataFrame, nearest: bool = False) ->
 
 
 def _masks(named: pa.ListArray) -> np.ndarray:
-    """A row of bits for each list: which of the lists' distinct groups it names."""
-    at, groups = np.unique(named.flatten().to_numpy(), return_inverse=True)
-    bits = np.zeros((len(named), 64 * max(1, -(-len(at) // 64))), bool)
-    bits[np.repeat(np.arange(len(named)), pc.list_value_length(named).to_numpy(zero_copy_only=False)), groups] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    """A row of bits for each list: which groups it names, of those that two lists name at least."""
+    _, groups, counts = np.unique(named.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = counts[groups] > 1
+    slot = np.cumsum(counts > 1) - 1
+    who = np.repeat(np.arange(len(named)), pc.list_value_length(named).to_numpy(zero_copy_only=False))[shared]
+    at = slot[groups[shared]]
+    bits = np.zeros((len(named), max(1, -(-int((counts > 1).sum()) // 64))), _U)
+    np.bitwise_or.at(bits, (who, at >> 6), _U(1) << (at & 63).astype(_U))
+    return bits
 
 
 def _pass(table: pa.Table, starts: np.ndarray, nearest: bool) -> pa.RecordBatch:
