@@ -1,8 +1,10 @@
 """A training-data pipeline over ``documents``: five stages, each an operator of ``marlspring.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read back
-as the next stage's input. The first four keep the columns of the documents that stay. What stays is decided for each row: rows
-without an id or with one that others have too are documents of their own.
+as the next stage's input. The first four keep the columns of the documents that stay. What stays is
+decided for each row: rows without an id or with one that others have too are documents of their own. A
+null or empty text has no language, so the first stage drops it; an empty table stays empty; extra
+columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the model learns from the stage's own input."""
+    """Documents whose language is known (a null text's never is); the model learns from the stage's own input."""
     return language_filter(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base measures and every rule of the cascade."""
+    """Documents that pass the base measures and every rule of the cascade; copies pass or fail together."""
     return quality_filter(docs)
 
 
@@ -45,12 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; a text without words holds none."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    """doc_id (null or repeated as in the input), n_tokens and the digests of the ids and of the decoded text, a row for each document."""
     return bpe_digests(docs, tokenizer_path())
 
 
