@@ -28,51 +28,74 @@ from marlspring.llm.bpe import LONG_PIECE, byte_symbols, crowded, pieces, plain_
 from marlspring.llm.common import environment, slices, text_of
 
 SCHEMA = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
-#: Bytes of pieces and pre-tokens with their ids that a worker keeps of each kind before it starts anew.
-CACHE_BYTES = 64 << 20
+#: Bytes of pieces with their ids in one generation of a worker's cache: it holds two generations of pieces behind a space and of others.
+CACHE_BYTES = 48 << 20
+#: Characters of pre-tokens that are kept apart from pieces, and how many of them a worker keeps.
+SHORT, SHORT_WORDS = 4, 50_000
 
 
-class _Bounded(dict):
-    """Ids (as bytes) by string, made when they lack; bounded by bytes, and long strings are never kept."""
+class _Pieces(dict):
+    """Ids (as bytes) of pieces that follow a space (``before`` = " ") or nothing, by the library's model.
 
-    held = 0
+    Kept in two generations: when the younger one is full it becomes the older, and what is still used moves
+    back, so frequent pieces stay and a long tail of rare ones goes. Long pieces are never kept.
+    """
+
+    def __init__(self, model, before: str):
+        self.model, self.before = model, before
+        symbols = byte_symbols()
+        self.symbols, self.start = str.maketrans(dict(enumerate(symbols))), "".join(symbols[b] for b in before.encode())
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.held = 0
 
-    def keep(self, key: str, got: bytes) -> bytes:
-        if len(key) <= LONG_PIECE:
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece) or self._made(piece)
+        if len(piece) <= LONG_PIECE:
             if self.held > CACHE_BYTES:
+                self.older, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
-            self[key] = got
-            self.held += 200 + len(key) + len(got)
+            self[piece] = got
+            self.held += 200 + len(piece) + len(got)
         return got
 
+    def _made(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # letters stand for themselves
+            return self._ids(self.start + piece)
+        text = self.before + piece
+        if not text:
+            return b""
+        head, *rest = pre_tokens(text)
+        if not rest:
+            return self._word(head)
+        # The word before a mark is a piece of its own.
+        own = self[head[1:]] if self.before and len(head) > 1 else self._part(head)
+        return own + (self._part(rest[0]) if len(rest) == 1 else b"".join(map(self._part, rest)))
+
+    def _part(self, word: str) -> bytes:
+        """As ``_word``; what is of a few characters, such as marks and syllables, recurs and is kept."""
+        if len(word) > SHORT:
+            return self._word(word)
+        got = self.parts.get(word)
+        if got is None:
+            if len(self.parts) > SHORT_WORDS:
+                self.parts.clear()
+            got = self.parts[word] = self._word(word)
+        return got
 
-class _Words(_Bounded):
-    """The ids of pre-tokens by the library's model."""
-
-    def __init__(self, model):
-        self.model, self.symbols = model, str.maketrans(dict(enumerate(byte_symbols())))
-
-    def __missing__(self, word: str) -> bytes:
-        return self.keep(word, array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes())
-
-
-class _Pieces(_Bounded):
-    """The ids of pieces that follow a space (``before`` = " ") or nothing."""
-
-    def __init__(self, words: _Words, before: str):
-        self.words, self.before = words, before
+    def _word(self, word: str) -> bytes:
+        return self._ids(word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.symbols))
 
-    def __missing__(self, piece: str) -> bytes:
-        parts = pre_tokens(self.before + piece) if self.before or piece else []
-        return self.keep(piece, self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[w] for w in parts]))
+    def _ids(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
 
 class LibraryEncoder:
     """The tokenizers library over distinct pieces of texts, whose ids a worker keeps (bounded).
 
     A text is cut into pre-tokens by the byte-level pattern; the library's model encodes each distinct one.
-    Where the file names another pattern or a normalizer, the library encodes the texts itself.
+    Where the file names another pattern or a normalizer, or a text holds a special token, the library encodes
+    the whole text itself.
     """
 
     def __init__(self, path: str):
@@ -85,8 +108,7 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             self.plain = plain_byte_level(json.load(f))
-        words = _Words(self.tokenizer.model)
-        self.spaced, self.whole = _Pieces(words, " "), _Pieces(words, "")
+        self.spaced, self.first = _Pieces(self.tokenizer.model, " "), _Pieces(self.tokenizer.model, "")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -96,10 +118,12 @@ class LibraryEncoder:
             elif not self.plain or any(s in t for s in self.specials):
                 yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
             elif crowded(t):
-                yield b"".join(map(self.whole.__getitem__, pieces(t)))
+                head, *rest = pieces(t)
+                # Every later piece begins with the space it was cut before.
+                yield self.first[head] + b"".join([self.spaced[p[1:]] for p in rest])
             else:
-                first, *rest = t.split(" ")
-                yield self.whole[first] + b"".join(map(self.spaced.__getitem__, rest))
+                head, *rest = t.split(" ")
+                yield self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
