@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64; kept for the largest n so far."""
     size = max(_POWERS, default=0)
     if size < n:
@@ -36,7 +36,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     blank = raw == 32
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
     start, end = edge[::2], edge[1::2]

@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlspring.llm.bpe import bpe_digests
+from marlspring.llm.clusters import centroid_clusters
 from marlspring.llm.common import shared_dir, table
 from marlspring.llm.decontamination import decontaminate
 from marlspring.llm.hilbert import document_shards
 from marlspring.llm.html import html_text
+from marlspring.llm.infill import infill_digests
 from marlspring.llm.language import language_id
 from marlspring.llm.licenses import license_scan
 from marlspring.llm.quality import quality_rules
 from marlspring.llm.similarity import jaccard_components
+from marlspring.llm.suffixes import suffix_dedup
 from marlspring.llm.token_files import read_token_files, token_crc, write_token_files
 from marlspring.llm.warc import read_warc, write_warc
 
@@ -71,8 +74,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op6_html_text, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan)}
+    made = (
+        op1_jaccard_join, op2_quality_rules, op3_language_id, op4_warc, op5_decontamination, op6_html_text, op7_hilbert_shards, op8_bpe, op9_token_files, op10_license_scan,
+        op11_centroid_clusters, op12_suffix_dedup, op13_fill_in_middle,
+    )
+    return {f.__name__: f for f in made}
 
 
 OP2_SQL = r"""
@@ -134,5 +153,48 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_NEAREST = "SELECT r, arg_min(k, struct_pack(d := d, k := k)) AS k, min(d) AS d FROM (SELECT r, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, {}) GROUP BY r"
+_ROUND = """a{0} AS MATERIALIZED ({1}),
+c{2} AS MATERIALIZED (SELECT c{0}.k, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN
+  (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (SELECT k, j, sum(x)::BIGINT AS s, count(*) AS n FROM
+    (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{0} JOIN v USING (r)) GROUP BY 1, 2) GROUP BY 1) m USING (k)),
+"""
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v AS c FROM v QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= 8),
+{"".join(_ROUND.format(i, _NEAREST.format(f"c{i}"), i + 1) for i in range(10))}
+a AS MATERIALIZED ({_NEAREST.format("c10")})
+SELECT vec_id, a.k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a JOIN v USING (r) JOIN c10 ON c10.k = a.k
+"""
+
+OP12_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, x, unnest(generate_series(0, n - 100)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM
+  (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM f)) GROUP BY doc_id, run),
+p AS (SELECT s.doc_id, a, e, substr(x, 2 * coalesce(lag(e) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(e) OVER (PARTITION BY s.doc_id ORDER BY a), 0))) AS piece FROM s JOIN d USING (doc_id)),
+k AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(piece, '' ORDER BY a) AS kept FROM p GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_DRAWN = ", ".join(f"('0x' || substr(sha256('7:' || doc_id), {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, {_DRAWN} FROM documents),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {
+        "op1_jaccard_join": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_warc": OP4_SQL, "op5_decontamination": OP5_SQL,
+        "op11_centroid_clusters": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL,
+    }
