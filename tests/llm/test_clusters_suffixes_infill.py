@@ -166,7 +166,7 @@ def test_equal_windows_share_a_name():
         passage = bytes(rng.randrange(97, 100) for _ in range(60))
         texts = [bytes(rng.randrange(97, 120) for _ in range(rng.randrange(80))) + passage + bytes(rng.randrange(97, 120) for _ in range(rng.randrange(80))) for _ in range(3)]
         texts += [b"ab" * 70, b"", b"abc"]
-        who, lo, n, name, own = window_names(texts, 30)
+        who, lo, n, name, _, own = window_names(texts, 30)
         at = {(w, a + i): (h, o) for w, a, k, h, o in zip(who.tolist(), lo.tolist(), n.tolist(), name.tolist(), own.tolist()) for i in range(k)}
         assert set(at) == {(w, a) for w, t in enumerate(texts) for a in range(len(t) - 29)}
         first, where = {}, {}
