@@ -95,7 +95,7 @@ def balanced_answers(spark, sf):
 
 #: The first page of a paper for each part: parts of it are missing where the key says so.
 _ABSTRACT = "'We report the abundance of ' || p_name || ' (' || p_brand || ') in a set of ' || cast(p_size AS varchar(9)) || ' stones, and what it says of their origin.'"
-_PAPER = f"""CASE WHEN p_partkey % 2 = 0 THEN '10.' || cast(1000 + p_partkey AS varchar(9)) || '/meteorstudies-' || cast(p_partkey AS varchar(9)) || chr(10) ELSE '' END || '0004-637X 783 2 140' || chr(10) ||
+_PAPER = f"""CASE WHEN p_partkey % 2 = 0 THEN '10.' || cast(100000 + p_partkey AS varchar(9)) || '/meteorstudies-' || cast(p_partkey AS varchar(9)) || chr(10) ELSE '' END || '0004-637X 783 2 140' || chr(10) ||
   'On the Distribution of ' || p_name || chr(10) || '  among stones of size ' || cast(p_size AS varchar(9)) || ' around the early Sun ' || chr(10) || 'Anna Smith, Peter Jones' || chr(10) || 'Received 3 May ' || cast(1990 + p_partkey % 30 AS varchar(9)) || chr(10) || 'Accepted 4 June' || chr(10) || 'Editors: some' || chr(10) ||
   CASE WHEN p_partkey % 3 = 0 THEN 'Abstract' || chr(10) || {_ABSTRACT} || chr(10) || chr(10) ELSE 'Abstract short' || chr(10) || chr(10) END ||
   CASE WHEN p_partkey % 5 > 0 THEN 'Keywords: ' || p_name || ', ' || p_type || chr(10) ELSE '' END || 'Introduction' || chr(10) || CASE WHEN p_partkey % 7 < 3 THEN 'as shown in Icarus before.' ELSE 'As shown, by Stellar Physics 42 (2011) before.' END"""
@@ -103,7 +103,7 @@ _PAPER = f"""CASE WHEN p_partkey % 2 = 0 THEN '10.' || cast(1000 + p_partkey AS
 
 @register(
     "paper_metadata",
-    f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.' || (1000 + p_partkey) || '/meteorstudies-' || p_partkey END AS doi, (CASE WHEN p_partkey % 7 < 3 THEN 1990 + p_partkey % 30 ELSE greatest(2011, 1990 + p_partkey % 30) END)::BIGINT AS year,
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.' || (100000 + p_partkey) || '/meteorstudies-' || p_partkey END AS doi, (CASE WHEN p_partkey % 7 < 3 THEN 1990 + p_partkey % 30 ELSE greatest(2011, 1990 + p_partkey % 30) END)::BIGINT AS year,
       CASE WHEN p_partkey % 2 = 0 THEN 'meteorstudies' WHEN p_partkey % 7 < 3 THEN 'Icarus' ELSE 'by Stellar Physics' END AS journal, 'Anna Smith, Peter Jones' AS authors,
       'On the Distribution of ' || p_name || ' among stones of size ' || p_size || ' around the early Sun Anna Smith, Peter Jones' AS title,
       CASE WHEN p_partkey % 3 = 0 THEN {_ABSTRACT} END AS abstract, CASE WHEN p_partkey % 5 > 0 THEN p_name || ', ' || p_type END AS keywords FROM part""",
