@@ -63,11 +63,11 @@ def benchmark_shingles(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFram
                 m = len(h)
                 t = hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest()
                 told = pa.array([[w.decode() for w in words], *[None] * (m - 1)], pa.list_(pa.string()))
-                columns = [pa.array(np.full(m, item)), pa.array([t] * m), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(h), pa.array(np.full(m, k, np.int32)), told]
+                columns = [pa.array([item] * m, pa.string()), pa.array([t] * m), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(h), pa.array(np.full(m, k, np.int32)), told]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id long, t string, n int, p int, h long, k int, words array<string>")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.mapInArrow(run, "item_id string, t string, n int, p int, h long, k int, words array<string>")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:

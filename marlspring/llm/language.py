@@ -39,7 +39,6 @@ DOUBTFUL = 0.5
 #: Log-odds at which a bit is nearly sure.
 SURE = 8.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Texts whose feature counts a task holds at once.
 _ROWS = 256
@@ -184,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, with_text: bool =
                 texts = part.column(0).to_pylist()
                 names = np.full(len(texts), UNKNOWN, dtype=object)
                 score, unsure = np.zeros(len(texts)), np.ones(len(texts), bool)
-                lettered = np.array([i for i, t in enumerate(texts) if t and _LETTER.search(t)], dtype=int) if m else np.zeros(0, int)
+                lettered = np.array([i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))], dtype=int) if m else np.zeros(0, int)
                 for k, counts in blocks([folded(texts[i]) for i in lettered]):
                     at = lettered[k : k + len(counts)]
                     best, score[at], unsure[at] = m.decode(counts)

@@ -95,6 +95,14 @@ def test_decontamination_equals_brute_force(spark, documents, odd_texts, empty):
     assert clean.columns == documents.columns and {r.doc_id for r in clean.collect()} == {k for k, v in rows.items() if not v[4]}
 
 
+def test_items_keep_ids_of_any_type(spark, documents, odd_texts):
+    a = odd_texts[9].split()
+    items = [("b-1", " ".join(a[5:30])), ("a", "teSt")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate(documents, bench).collect()}
+    assert rows == {k: brute_hits(t, items) for k, t in enumerate(odd_texts)} and any(r[4] for r in rows.values())
+
+
 def test_decontamination_searches_every_text_of_an_item_id(spark, documents, odd_texts):
     a, b = odd_texts[9].split(), odd_texts[8].split()
     items = [(1, " ".join(a[5:30])), (1, " ".join(b[100:150])), (1, " ".join(b[300:311])), (2, "one two three"), (2, " ".join(a[:10])), (2, "one two three")]
@@ -147,6 +155,14 @@ def test_language_id_on_held_out(spark):
     assert kept.columns == df.columns and 1000 not in {r.doc_id for r in kept.collect()}
 
 
+def test_numbers_have_no_language(spark):
+    rows = [(4 * k, f"the and of {w} with", "en") for k, w in enumerate("a b c d".split())] + [(40 + 4 * k, f"der die und {w} mit", "de") for k, w in enumerate("a b c d".split())]
+    odd = ["½ ² Ⅷ 12", "①②", "²", "_ 7", "٣", "…", None, ""]
+    df = spark.createDataFrame([*rows, *[(1000 + k, t, None) for k, t in enumerate(odd)], (2000, "x²", None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id(df).collect()}
+    assert {found[1000 + k] for k in range(len(odd))} == {"und"} and found[2000] != "und"
+
+
 def test_language_id_without_labels(documents, empty):
     assert {r.lang_pred for r in language_id(documents.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert {r.lang_pred for r in language_id(documents).collect()} == {"und", "en"}
