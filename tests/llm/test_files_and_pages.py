@@ -167,6 +167,11 @@ def test_pages_without_a_wrapper(html, text):
         ('<article><div class="section" id="search"><p>s</p></div><div id="comments"><p>no</p></div><div class="Share x">no</div></article>', "s"),
         ('<main><p>x</p></main><div class="related"><article><p>other</p></article></div>', "x"),
         ('<article id="how-to-share-comments" class="post related-posts"><p>x</p></article>', "x"),
+        ('<article><p>Body</p><div class="user-comments"><p>c</p></div><div class="cookie-bar">k</div><div class="ad-slot">a</div></article>', "Body"),
+        ('<article><p>Body</p><section class="comment-list"><p>c</p></section><div id="comments-section"><p>c</p></div></article>', "Body"),
+        ('<p>Body</p><div class="post-comments"><p>c</p></div><div class="cookie-notice">k</div><div class="share-buttons">s</div>', "Body"),
+        ('<article><div class="related-work"><p>w</p></div><div class="ad-hoc">h</div><div class="social-science">s</div><div class="no-ads">n</div></article>', "w\n\nh\n\ns\n\nn"),
+        ('<div class="content-sidebar-wrap"><article><p>x</p></article></div>', "x"),
     ],
 )
 def test_marks_are_whole_tokens_and_frames_keep_their_article(html, text):
