@@ -3,10 +3,10 @@
 Base measures are counted for every text inside its own row (no shuffle, no Python). Repeated 3-word
 windows are found by sorting the windows' hashes together with their positions: where two neighbours
 share a hash, both windows mark their words. The further rules are put in an order by what a sample
-says of each: its cost, timed there over the documents that pass the base, and the share it rejects of
-those that the base and the rules before it let pass; the rule with the most rejections per cost comes
-next, and ``OR`` stops at the first rule that rejects. The order changes the work and ``failed_rule``,
-never the verdict.
+says of each: its cost, the weighted characters its functions pass over in the documents that come to it,
+and how many of those it rejects; the rule with the most rejections per cost comes next, and the cascade
+stops at the first rule that rejects. One job over the sample tells both for all rules, and the same table
+always gives the same order. The order changes the work and ``failed_rule``, never the verdict.
 
 Words are runs of characters other than the space and \\t to \\r. Defined results: null and empty texts
 have no words, so they fail the base; a text with under three words has no windows; repeated rows
@@ -15,27 +15,25 @@ give repeated rows; an empty table gives no rows; extra columns are ignored unle
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspring.llm.common import passing_tables, written
-
 #: Rows, in expectation, of the sample that orders the rules.
 SAMPLE_ROWS = 2000
-#: Timed runs of a rule over the sample, of which the fastest counts, and the least cost in seconds.
-RUNS, LEAST_COST = 3, 1e-3
+#: Costs of a comparison of measures and, for each character, of plain functions and of regular expressions.
+COMPARE, PLAIN, REGEX = 1, 1, 10
 _INDEX_BITS = 24
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule that rejects where ``rejects`` holds."""
+    """A rule that rejects where ``rejects`` holds; ``cost`` is the work it makes of a document."""
 
     name: str
     rejects: str
+    cost: str = f"{COMPARE}"
 
 
 #: The base: what fails it is not kept.
@@ -45,11 +43,11 @@ RULES = (
     Rule("symbols", "5 * n_symbols > n_words"),
     Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("shouting", "2 * (length(text) - length(replace(text, '!', ''))) > n_words"),
-    Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]', '')) > length(regexp_replace(text, '[^A-Za-z]', ''))"),
-    Rule("letters", r"2 * length(regexp_replace(text, '[^\\p{L}]', '')) < word_chars"),
-    Rule("links", "5 * (length(text) - length(replace(text, '://', '//'))) > n_words"),
-    Rule("ellipses", "2 * (length(text) - length(replace(text, '...', '..'))) > n_lines + 4"),
+    Rule("shouting", "2 * (length(text) - length(replace(text, '!', ''))) > n_words", f"{3 * PLAIN} * length(text)"),
+    Rule("capitals", "2 * length(regexp_replace(text, '[^A-Z]', '')) > length(regexp_replace(text, '[^A-Za-z]', ''))", f"{2 * (REGEX + PLAIN)} * length(text)"),
+    Rule("letters", r"2 * length(regexp_replace(text, '[^\\p{L}]', '')) < word_chars", f"{REGEX + PLAIN} * length(text)"),
+    Rule("links", "5 * (length(text) - length(replace(text, '://', '//'))) > n_words", f"{3 * PLAIN} * length(text)"),
+    Rule("ellipses", "2 * (length(text) - length(replace(text, '...', '..'))) > n_lines + 4", f"{3 * PLAIN} * length(text)"),
 )
 
 
@@ -104,32 +102,27 @@ def base_measures(docs: DataFrame, *keep: str) -> DataFrame:
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per cost on a sample of about ``rows`` documents (dealt by the id's hash).
 
-    Rejections are counted among what the rules before let pass; cost is the time a rule takes over
-    the sample beyond that of reading it.
+    Both are counted over what the rules before let pass. Equal rules come by their whole cost, then as given.
     """
     every = max(1, docs.count() // rows)
-    with passing_tables(docs.sparkSession):
-        sample = written(base_measures(docs.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0"))).where(f"NOT ({BASE})"))
-        bits = " + ".join(f"if({r.rejects}, {1 << k}, 0)" for k, r in enumerate(rules))
-        told = [(r.m, r.n) for r in sample.groupBy(F.expr(bits).alias("m")).agg(F.count("*").alias("n")).collect()]  # one row for each set of rules that reject together
-
-        def seconds(what: str) -> float:
-            taken = []
-            for _ in range(RUNS):
-                began = time.perf_counter()
-                sample.agg(F.count_if(F.expr(what)), F.sum(F.length("text"))).first()
-                taken.append(time.perf_counter() - began)
-            return min(taken)
-
-        reading = seconds("n_words < 0")
-        cost = {r: max(LEAST_COST, seconds(r.rejects) - reading) for r in rules}
+    sample = base_measures(docs.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0"))).where(f"NOT ({BASE})")
+    bits = " + ".join(f"if({r.rejects}, {1 << k}, 0)" for k, r in enumerate(rules)) or "0"
+    work = [F.sum(F.expr(r.cost).cast("double")).alias(f"work_{k}") for k, r in enumerate(rules)]
+    # One row for each set of rules that reject together.
+    told = [(m, n, costs) for m, n, *costs in sample.groupBy(F.expr(bits).alias("m")).agg(F.count("*").alias("n"), *work).collect()]
+    whole = [sum(costs[k] for _, _, costs in told) for k in range(len(rules))]
     order: list[Rule] = []
-    left = list(enumerate(rules))
+    left = set(range(len(rules)))
     while left:
-        k, best = max(left, key=lambda x: (sum(n for m, n in told if m >> x[0] & 1) / cost[x[1]], -cost[x[1]], x[1].name))
-        told = [(m, n) for m, n in told if not m >> k & 1]
-        left.remove((k, best))
-        order.append(best)
+
+        def worth(k: int) -> tuple[float, float, int]:
+            rejected = sum(n for m, n, _ in told if m >> k & 1)
+            return rejected / max(1.0, sum(costs[k] for _, _, costs in told)), -whole[k], -k
+
+        best = max(left, key=worth)
+        told = [x for x in told if not x[0] >> best & 1]
+        left.remove(best)
+        order.append(rules[best])
     return order
 
 

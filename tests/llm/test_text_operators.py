@@ -187,13 +187,20 @@ def test_rules_are_ordered_by_what_is_left_for_them(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     loud = "length(text) - length(replace(text, '!', '')) > 100"
     rules = (quality.Rule("loud", loud), quality.Rule("loud_too", f"{loud} AND doc_id >= 0"), quality.Rule("links", "contains(text, '://')"))
-    monkey = quality.LEAST_COST
-    try:
-        quality.LEAST_COST = 1e6  # all rules cost the same
-        order = [r.name for r in quality.rule_order(docs, rules)]
-    finally:
-        quality.LEAST_COST = monkey
-    assert order.index("links") == 1 and order[0] in ("loud", "loud_too")
+    order = [r.name for r in quality.rule_order(docs, rules)]
+    assert order == ["loud", "links", "loud_too"]
+
+
+def test_rules_are_ordered_by_rejections_per_cost_and_always_alike(spark, documents):
+    """A dear rule comes after a cheap one that rejects a little less; the same table gives the same order and rules again."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(80)) + (" ://" if k % 2 else "") + (" ..." if k % 5 == 0 else "")) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dear = quality.Rule("dear", "contains(text, '://')", f"{quality.REGEX} * length(text)")
+    cheap, never = quality.Rule("cheap", "contains(text, '...')", f"{quality.PLAIN} * length(text)"), quality.Rule("never", "n_words < 0")
+    assert [r.name for r in quality.rule_order(docs, (never, dear, cheap))] == ["cheap", "dear", "never"]
+    assert [r.name for r in quality.rule_order(docs.limit(0), (never, dear, cheap))] == ["never", "dear", "cheap"]  # as given: nothing is known
+    orders = [[r.name for r in quality.rule_order(documents.repartition(n))] for n in (1, 3, 5)]
+    assert orders[0] == orders[1] == orders[2] and sorted(orders[0]) == sorted(r.name for r in quality.RULES)
 
 
 def test_long_words_merge_as_short_ones_do():
