@@ -1,8 +1,9 @@
 """Operator 4: WARC archives, written as text rows and read back by boundary-chain verification.
 
 Writing: of records with equal payloads of ``REVISIT_BYTES`` or more, the one with the largest id is a
-response and the others revisit it. A record is one row of text, its terminator the writer's line
-separator, and a partition is one archive of about ``FILE_BYTES``, in id order.
+response and the others revisit it. Tasks join the records they read, in that order, to archives that end before
+``FILE_BYTES`` would be passed; only a record longer than that makes a longer archive, of its own. An archive is one
+row of text and one file, its last terminator the writer's line separator.
 
 Reading: a task looks at its archives in blocks and emits, for each place that looks like a record's
 start, the offset and that of the successor its length points to. Magic inside a payload also yields
@@ -22,20 +23,23 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspring.llm.common import written
+from marlspring.llm.common import arrow_rows, written
 
 #: The record magic and the terminator.
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 REVISIT_BYTES = 1000
 FILE_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
+#: Records that a writing task is handed at a time.
+BATCH_ROWS = 64
 DATE = "2026-01-01T00:00:00Z"
 _FIELD = re.compile(rb"^([A-Za-z-]+): *(.*?)\r?$", re.M)
 
@@ -59,9 +63,34 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     )
 
 
+def _archives(file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Joins records by their terminators to archives of ``file_bytes`` at most (one record at least)."""
+
+    def row(archive: bytearray) -> pa.RecordBatch:
+        ends = pa.py_buffer(np.array([0, len(archive)], np.int32))
+        return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, ends, pa.py_buffer(bytes(archive)))], ["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive: bytearray | None = None
+        for batch in batches:
+            for record in batch.column(0):
+                added = record.as_buffer()
+                if archive is not None and len(archive) + added.size + 2 * len(END) > file_bytes:
+                    yield row(archive)
+                    archive = None
+                if archive is None:
+                    archive = bytearray(added)
+                else:
+                    archive += END
+                    archive += added
+        if archive is not None:
+            yield row(archive)
+
+    return run
+
+
 def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Writes one record for each row of page_id, url, html."""
-    size = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))) + 600)).first()[0] or file_bytes
     marked = mark_revisits(pages)
     urn = "concat('<urn:marlspring:page:', coalesce(cast({} as string), 'null'), '>')"
     http = "concat('HTTP/1.1 200 OK\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ', payload_bytes, '\\r\\n\\r\\n')"
@@ -74,8 +103,9 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> Non
           '\\r\\nContent-Type: application/http; msgtype=response\\r\\nContent-Length: ',
           octet_length({http}) + if(record_type = 'response', payload_bytes, 0), '\\r\\n\\r\\n', {http}, if(record_type = 'response', html, ''))"""
     )
-    records = max(1, int(file_bytes / size))
-    marked.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
+    with arrow_rows(pages.sparkSession, BATCH_ROWS):
+        archives = marked.select(record.alias("value")).mapInArrow(_archives(file_bytes), "value string")
+        archives.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 class _Headers:

@@ -111,6 +111,18 @@ def test_header_as_long_as_its_url(spark, pages):
     assert all(r.intact for r in rows.values())
 
 
+def test_archives_end_before_they_grow_too_long(spark):
+    """A run of long pages beside many short ones makes archives of the target's size, and a page over it one of its own."""
+    rows = [(k, "u", f"{k:06d}" + "s" * 50) for k in range(3000)] + [(k, "u", f"{k:06d}" + "é" * 20_000) for k in range(3000, 3040)] + [(9000, "u", "x" * 300_000)]
+    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), shared_dir(spark)
+    write_warc(pages, path, 100_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert sum(n > 100_000 for n in sizes) == 1 and max(sizes) < 301_000 and sum(n < 50_000 for n in sizes) <= 2
+    found = read_warc(spark, path)
+    assert {r.page_id for r in found.collect()} == {k for k, _, _ in rows} and found.where("not intact").count() == 0
+    assert {r.page_id: r.payload for r in read_payloads(spark, path, found).collect()} == {k: h for k, _, h in rows}
+
+
 def test_broken_chain_is_an_error(spark, tmp_path):
     from marlspring.llm.warc import END
 
