@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspring.functions.scalars import count_matches, jaccard, share, words
+from marlspring.operators.blocks import nth_smallest
 
 
 def allowed_only(hits: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
@@ -111,9 +112,19 @@ def in_text_citations(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def eviction(rows: DataFrame, key: str, accesses: Column, age: Column, part: float = 0.1) -> DataFrame:
-    """The keys with the lowest accesses - age, a tenth of all: a bounded top-n, not a global sort of everything."""
+    """The keys with the lowest accesses - age, a tenth of all (one at least); ties by key.
+
+    Key, accesses and age are whole numbers; keys are unique. The cut is found by counts, so nothing is sorted and no
+    task holds the tenth. A row without a worth stays; an empty table gives no rows.
+    """
+    worth = rows.select(key, (accesses - age).cast("long").alias("worth"))
     n = max(1, int(rows.count() * part))
-    return rows.select(key, (accesses - age).alias("worth")).orderBy("worth", key).limit(n)
+    cut = nth_smallest(worth, "worth", n)
+    if cut is None:
+        return worth.where("worth IS NOT NULL")
+    ties = worth.where(F.col("worth") == cut)
+    last = nth_smallest(ties, key, n - worth.where(F.col("worth") < cut).count())
+    return worth.where((F.col("worth") < cut) | ((F.col("worth") == cut) & (F.col(key) <= last)))
 
 
 def token_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -8,6 +8,7 @@ from marlspring.functions.scalars import q6
 from marlspring.operators import confidence as C
 from marlspring.operators import evaluation as M
 from marlspring.operators import retrieval as R
+from marlspring.operators.blocks import dense_blocks
 from marlspring.operators.text import chunks
 from marlspring.plans.text import CHUNKS
 from marlspring.registry import register
@@ -108,37 +109,38 @@ def rerank_combine(spark, sf):
 
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-DENSE = f"dn AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, {Q6.format(COS)} AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)"
-QRELS = "qr AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, CASE WHEN a.label = b.label THEN 2 ELSE 1 END AS relevance FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id AND abs(a.label - b.label) <= 1)"
+DENSE = f"dn AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, {Q6.format(COS)} AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"
+QRELS = "qr AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, CASE WHEN a.label = b.label THEN 2 ELSE 1 END AS relevance FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND abs(a.label - b.label) <= 1)"
 
 
-def _dense(spark, sf, distance=2.0):
+def _dense(spark, sf, k=None, least=None, among="true"):
+    """The stated query set, vectors whose id is divisible by 100, against all: cosine in millionths."""
     e = table(spark, sf, "embeddings")
-    v = e.select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding")
-    return R.dense(v, q, distance).where("qid <> doc_id")
+    v = e.where(among).select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    d = dense_blocks(v, q, k, least)
+    return d if k is None else R.top_k(d, k)
 
 
 def _qrels(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    a, b = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("doc_id"), F.explode(F.array(F.col("label") - 1, F.col("label"), F.col("label") + 1)).alias("la"), "label")
+    a, b = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("doc_id"), F.explode(F.array(F.col("label") - 1, F.col("label"), F.col("label") + 1)).alias("la"), "label")
     return a.join(b, "la").where("qid <> doc_id").select("qid", "doc_id", F.when(F.col("la") == F.col("label"), 2).otherwise(1).alias("relevance"))
 
 
 @register("dense_topk", f"WITH {DENSE}, {cut('c', 'dn', 10)} SELECT qid, doc_id, s AS score, rank FROM c")
 def dense_topk(spark, sf):
-    return _ranked(_dense(spark, sf), 10)
+    return _dense(spark, sf, 10)
 
 
 @register("dense_threshold", f"WITH {DENSE} SELECT qid, count(*) AS n FROM dn WHERE s >= 200000 GROUP BY 1")
 def dense_threshold(spark, sf):
-    return _dense(spark, sf).where(q6(F.col("score")) >= 200_000).groupBy("qid").agg(F.count("*").alias("n"))
+    return _dense(spark, sf, least=200_000).groupBy("qid").agg(F.count("*").alias("n"))
 
 
 def _run(spark, sf):
     """Two methods: cosine, and cosine within the odd vectors only."""
-    d = _dense(spark, sf)
-    a, b = _ranked(d, 20).withColumn("method", F.lit("dense")), _ranked(d.where("doc_id % 2 = 1"), 20).withColumn("method", F.lit("odd"))
+    a, b = _dense(spark, sf, 20).withColumn("method", F.lit("dense")), _dense(spark, sf, 20, among="vec_id % 2 = 1").withColumn("method", F.lit("odd"))
     return a.union(b).select("method", "qid", "doc_id", "rank")
 
 
@@ -189,7 +191,7 @@ def bootstrap_interval(spark, sf):
 @register("mmr_selection")
 def mmr_selection(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    hits = R.top_k(_dense(spark, sf), 30).join(e, "doc_id").withColumn("chunk_index", F.lit(0).cast("long"))
+    hits = _dense(spark, sf, 30).withColumn("score", F.col("score") / 1e6).join(e, "doc_id").withColumn("chunk_index", F.lit(0).cast("long"))
     return R.mmr(hits.withColumn("doc_id", F.expr("doc_id div 3")).select("qid", "doc_id", "chunk_index", "score", "embedding"))
 
 

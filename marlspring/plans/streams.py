@@ -13,6 +13,7 @@ from marlspring.registry import register
 from marlspring.session import table
 from marlspring.sources import files as S
 from marlspring.sources.files import Collection
+from marlspring.streaming import checkpoints as C
 from marlspring.streaming import jobs as J
 
 
@@ -40,7 +41,7 @@ def hourly_counts(spark, sf):
 def streamed_hourly_counts(spark, sf):
     """The same by a stream that runs over the events' file and stops."""
     schema = table(spark, sf, "events").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    files = J.folder(spark, f"{sf}/events.parquet*", schema)
     target = scratch(spark)
     J.run_complete(J.hourly_counts(files), target, scratch(spark))
     return _hours(spark.read.parquet(target))
@@ -152,3 +153,20 @@ def resumed_stream(spark, sf):
     for _ in range(2):
         J.run_once(files, target, checkpoint)
     return spark.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register(
+    "checkpoint_statistics",
+    """WITH d AS (SELECT event_type AS task, ts::DATE AS day, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS created_at, count(*) AS done FROM events GROUP BY 1, 2),
+    k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY task ORDER BY day DESC) <= 20), s AS (SELECT task, count(*) AS n, max(created_at) AS latest, sum(length('{"created_at":"' || created_at || '","done":' || done || '}') + 1)::BIGINT AS size, arg_max(done, day) AS done FROM k GROUP BY 1)
+    SELECT task, true AS has_checkpoints, n AS checkpoints, latest AS latest_time, size AS total_size, done FROM s UNION ALL SELECT 'none', false, 0, NULL, 0, NULL""",
+)
+def checkpoint_statistics(spark, sf):
+    """A checkpoint a day for each type of event; twenty are kept. A task without any is asked for too."""
+    e, base = table(spark, sf, "events"), scratch(spark)
+    day = F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date")).cast("long")
+    C.write(e.groupBy(F.col("event_type").alias("task"), day.alias("version")).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.count("*").alias("done")), base)
+    C.prune(spark, base)
+    tasks = e.select(F.col("event_type").alias("task")).distinct().union(spark.range(1).select(F.lit("none")))
+    done = C.latest(spark, base, "created_at string, done long").select("task", "done")
+    return C.statistics(spark, base, tasks).join(done, "task", "left").select("task", "has_checkpoints", "checkpoints", "latest_time", "total_size", "done")

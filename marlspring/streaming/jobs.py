@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -81,3 +82,8 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     """Calls work(rows, batch id) for each micro-batch; a batch that failed comes again with the same id."""
     q = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_polled(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds") -> StreamingQuery:
+    """Calls work(rows, batch id) for what has come in since the last look, once an interval, until the query is stopped."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
