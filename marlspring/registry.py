@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from marlspring.plans import analytics, assembly, catalog, content, evidence, extraction, linkage, listing, records, retrieval, search, streams, text  # noqa: F401
+    from marlspring.plans import analytics, assembly, catalog, content, evidence, extraction, linkage, listing, records, retrieval, search, streams, text, tokens  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
