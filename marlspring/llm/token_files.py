@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ from marlspring.llm.common import environment, slices, text_of
 
 SCHEMA = "part int, start_in_part long, doc_id long, n_tokens long, ids array<int>"
 #: Bytes of pieces with their ids in one generation of a worker's cache: it holds two generations of pieces behind a space and of others.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 72 << 20
+#: Bytes of texts whose distinct words are looked up together.
+SLICE_BYTES = 6_000_000
 #: Characters of pre-tokens that are kept apart from pieces, and how many of them a worker keeps.
 SHORT, SHORT_WORDS = 4, 50_000
 
@@ -112,18 +115,58 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        for t in texts:
-            if not t:
-                yield b""
-            elif not self.plain or any(s in t for s in self.specials):
-                yield array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-            elif crowded(t):
-                head, *rest = pieces(t)
-                # Every later piece begins with the space it was cut before.
-                yield self.first[head] + b"".join([self.spaced[p[1:]] for p in rest])
-            else:
-                head, *rest = t.split(" ")
-                yield self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+        n, ids = self.encode_column(pa.array(texts, pa.string()))
+        raw, at = ids.tobytes(), 0
+        for k in n.tolist():
+            yield raw[at : at + 4 * k]
+            at += 4 * k
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all their ids in order, with ``end`` after each text.
+
+        Arrow cuts the texts at spaces and finds the distinct words, so that only these are looked up; the ids of all words
+        are then gathered by their places.
+        """
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        strings = texts.to_numpy(zero_copy_only=False).tolist()
+        whole = {i: self._whole(t) for i, t in enumerate(strings) if self._apart(t)}
+        if whole:
+            texts = pa.array(["" if i in whole else t for i, t in enumerate(strings)], pa.string())
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        words = cut.flatten()
+        heads = words.take(pa.array(offsets[:-1])).to_pylist()
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = coded.indices.to_numpy().copy()
+        # A text's first word follows no space; it is an entry of its own, as is the end.
+        place[offsets[:-1]] = np.arange(len(known), len(known) + len(heads))
+        spaced = self.spaced
+        entries = [spaced[w] for w in known]
+        entries += [whole[i] if i in whole else self.first[w] for i, w in enumerate(heads)]
+        entries.append(end)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
+        place = np.insert(place, offsets[1:], len(entries) - 1)
+        ends = np.append(0, np.cumsum(sizes[place]))
+        n = np.diff(ends[offsets + np.arange(len(offsets))])
+        starts = np.append(0, np.cumsum(sizes))[:-1]
+        # Where the ids of a word lie among those of all entries, counted on from where they go.
+        source = np.repeat((starts[place] - ends[:-1]).astype(np.int32), sizes[place])
+        source += np.arange(ends[-1], dtype=np.int32)
+        return n, np.frombuffer(b"".join(entries), "<u4")[source]
+
+    def _apart(self, text: str) -> bool:
+        """Whether words can't be encoded one by one."""
+        return bool(text) and (not self.plain or any(s in text for s in self.specials) or crowded(text))
+
+    def _whole(self, text: str) -> bytes:
+        if not self.plain or any(s in text for s in self.specials):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        head, *rest = pieces(text)
+        # Every later piece begins with the space it was cut before.
+        return self.first[head] + b"".join([self.spaced[p[1:]] for p in rest])
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -141,11 +184,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start, end = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for rows in slices(batch, "text"):
-                raw = [b + end for b in encoder.encode(rows.column(1).to_pylist())]
-                n = np.fromiter((len(b) // 4 for b in raw), dtype=np.int64, count=len(raw))
+            for rows in slices(batch, "text", SLICE_BYTES):
+                n, values = encoder.encode_column(rows.column(1), end)
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), rows.column(0), pa.array(n), ids], ["part", "start_in_part", "doc_id", "n_tokens", "ids"])
                 start += int(ends[-1])
 

@@ -226,3 +226,21 @@ def test_deep_and_broken_pages_take_linear_time():
         page_wrapper(blocks(broken))
     assert time.perf_counter() - began < 60
     assert main_text("<article>" + "<div>" * 300 + "<nav>no</nav><p>yes", None) == "yes"
+
+
+def test_columns_of_words_are_encoded_as_whole_texts():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from marlspring.llm.token_files import LibraryEncoder
+
+    texts = ["cut off", "plain words, plain words", None, "", " lead and trail ", "two  spaces", "a \n b", "x<|endoftext|>y z", "é ü日 1 a's", "plain", " ", "cut off"]
+    column, end = pa.array(texts, pa.string()).slice(1, 10), np.array([7], "<u4").tobytes()
+    library = Tokenizer.from_file(PATH)
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 7] for t in texts[1:11]]
+    n, ids = LibraryEncoder(PATH).encode_column(column, end)
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    for few in (column.slice(0, 0), column.slice(1, 2)):
+        n, ids = LibraryEncoder(PATH).encode_column(few)
+        assert n.tolist() == [0] * len(few) and not len(ids)
