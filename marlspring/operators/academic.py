@@ -47,8 +47,8 @@ def doi(text: Column) -> Column:
 
 
 def year(text: Column, this_year: int) -> Column:
-    """The latest year from 1900 on that isn't over ``this_year``."""
-    years = F.transform(F.regexp_extract_all(F.left(text, F.lit(FIRST)), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    """The latest year from 1900 on that isn't over ``this_year``; the digits of a DOI, whole or cut off, are no year."""
+    years = F.transform(F.regexp_extract_all(F.left(text, F.lit(FIRST)), F.lit(r"10\.\d{4,}(?:/\S*|$)|\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.try_cast("int"))
     return F.array_max(F.filter(years, lambda y: y <= this_year))
 
 
