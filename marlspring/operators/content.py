@@ -17,10 +17,10 @@ def fit(preferences: Column, features: Column) -> Column:
 def _as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """One map a key; of rows that repeat a feature the largest value counts."""
     one = rows.where(F.col("feature").isNotNull() & F.col(value).isNotNull()).groupBy(key, "feature").agg(F.max(value).cast("double").alias(value))
-    return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", value))).alias(name))
+    return one.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", value)))).alias(name))
 
 
-def content_matches(preferences: DataFrame, items: DataFrame, seen: DataFrame, threshold: float = 0.3, salts: int = 16) -> DataFrame:
+def content_matches(preferences: DataFrame, items: DataFrame, seen: DataFrame | None = None, threshold: float = 0.3, salts: int = 16) -> DataFrame:
     """user, item, similarity (over the threshold) of items that a user has not seen.
 
     preferences (user, feature, weight), items (item, feature, value), seen (user, item). A weighted mean is over the threshold only
@@ -44,11 +44,65 @@ def content_matches(preferences: DataFrame, items: DataFrame, seen: DataFrame, t
     p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     i = i.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
     pairs = p.join(i, ["feature", "salt"]).where(F.col("w") * F.col("v") > bound).select("user", "item").distinct()
-    fresh = pairs.join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    fresh = pairs if seen is None else pairs.join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
     scored = fresh.join(likes, "user").join(has, "item").select("user", "item", fit(F.col("likes"), F.col("has")).alias("similarity"))
     return scored.where(F.col("similarity") > threshold)
 
 
+def _alike(rows: DataFrame, key: str, value: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(key, kind) where keys of equal features share a kind, and (kind, feature, value) of each kind once."""
+    held = _as_map(rows, key, value, "_m").select(key, F.array_sort(F.map_entries("_m")).alias("_m"))
+    keyed = held.select(key, F.sha2(F.to_json("_m"), 256).alias(kind), "_m")
+    each = keyed.groupBy(kind).agg(F.first("_m").alias("_m")).select(kind, F.explode("_m").alias("e")).select(kind, F.col("e.key").alias("feature"), F.col("e.value").alias(value))
+    return keyed.select(key, kind), each
+
+
+class Kinds:
+    """Matches between kinds: users, and items, of equal features are compared once, and their pairs never made.
+
+    ``users`` (user, liking), ``items`` (item, kind), ``found`` (liking, kind, similarity) and ``met`` (user, item, similarity of
+    items that match and are seen) say together what ``content_matches`` gives in a row for each pair.
+    """
+
+    def __init__(self, preferences: DataFrame, items: DataFrame, seen: DataFrame, threshold: float = 0.3):
+        self.users, likes = _alike(preferences, "user", "weight", "liking")
+        self.items, has = _alike(items, "item", "value", "kind")
+        pairs = content_matches(likes.withColumnRenamed("liking", "user"), has.withColumnRenamed("kind", "item"), None, threshold)
+        self.found = pairs.select(F.col("user").alias("liking"), F.col("item").alias("kind"), "similarity")
+        self.met = seen.select("user", "item").distinct().join(self.users, "user").join(self.items, "item").join(self.found, ["liking", "kind"]).select("user", "liking", "item")
+
+
+def match_counts(kinds: Kinds) -> DataFrame:
+    """user, n, items: the number of matches each user hasn't seen, and the sum of their (whole) numbers; users without one are left out."""
+    sizes = kinds.items.groupBy("kind").agg(F.count("*").alias("n"), F.sum("item").alias("items"))
+    all_ = kinds.found.join(sizes, "kind").groupBy("liking").agg(F.sum("n").alias("n"), F.sum("items").alias("items"))
+    met = kinds.met.groupBy("user").agg(F.count("*").alias("_n"), F.sum("item").alias("_items"))
+    df = kinds.users.join(all_, "liking").join(met, "user", "left")
+    less = lambda c: (F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    return df.select("user", less("n"), less("items")).where("n > 0")
+
+
+def best_of_kinds(kinds: Kinds, seen: DataFrame, k: int = 10, salts: int = 16) -> DataFrame:
+    """The k best items of each user, as ``best_matches`` gives them, from kinds.
+
+    Where no user of a liking has seen more than m of its matches, k + m items in order hold the k best of each: kinds whose betters
+    hold that many are left out, and a kind gives that many of its least items. A large kind is ranked in ``salts`` parts first.
+    """
+    most = kinds.met.groupBy("user", "liking").agg(F.count("*").alias("m")).groupBy("liking").agg(F.max("m").alias("m"))
+    sizes = kinds.items.groupBy("kind").agg(F.count("*").alias("n"))
+    df = kinds.found.withColumn("s6", F.floor(F.col("similarity") * 1_000_000 + 0.5).cast("long")).join(sizes, "kind").join(most, "liking", "left")
+    w = Window.partitionBy("liking")
+    better = F.sum("n").over(w.orderBy(F.desc("s6"))) - F.sum("n").over(Window.partitionBy("liking", "s6"))  # rows of one s6 come together
+    df = df.withColumn("need", F.lit(k) + F.coalesce("m", F.lit(0))).withColumn("better", better).where("better < need").select("liking", "kind", "s6", "need")
+    least = kinds.items.join(df.groupBy("kind").agg(F.max("need").alias("most")), "kind").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)))
+    for part in (["kind", "salt"], ["kind"]):
+        least = least.withColumn("nth", F.row_number().over(Window.partitionBy(*part).orderBy("item"))).where("nth <= most")
+    offered = df.join(least.select("kind", "item", "nth"), "kind").where("nth <= need").select("liking", "item", "s6")
+    fresh = kinds.users.join(offered, "liking").join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("s6"), "item"))).where(F.col("rank") <= k)
+    return ranked.join(match_counts(kinds).select("user", "n"), "user").select("user", "item", F.col("s6").alias("similarity"), F.col("rank").cast("long").alias("rank"), "n")
+
+
 def best_matches(matches: DataFrame, k: int = 10) -> DataFrame:
     """The k best items of each user, with their rank and the number of its matches; ties by the item."""
     w = Window.partitionBy("user")

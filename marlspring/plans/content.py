@@ -26,12 +26,13 @@ def _bought(spark, sf):
 
 
 def _matches(spark, sf):
+    """Matches by kinds, and what was bought."""
     b, p = _bought(spark, sf), table(spark, sf, "part")
     n = b.select("user", F.explode(F.array("p_brand", "p_type")).alias("feature")).groupBy("user", "feature").agg(F.count("*").alias("n"))
     most = n.groupBy("user").agg(F.max("n").alias("most"))
     likes = n.join(most, "user").select("user", "feature", (F.col("n") / F.col("most")).alias("weight"))
     has = p.select(F.col("p_partkey").alias("item"), F.explode(F.map_from_arrays(F.array("p_brand", "p_type"), F.array(F.lit(1.0), 0.25 + F.col("p_size") / 100.0))).alias("feature", "value"))
-    return C.content_matches(likes, has, b)
+    return C.Kinds(likes, has, b), b
 
 
 @register(
@@ -40,12 +41,12 @@ def _matches(spark, sf):
     SELECT u AS "user", item, similarity, row_number() OVER (PARTITION BY u ORDER BY similarity DESC, item) AS rank, n FROM q QUALIFY rank <= 10""",
 )
 def content_recommended(spark, sf):
-    return C.best_matches(_matches(spark, sf))
+    return C.best_of_kinds(*_matches(spark, sf))
 
 
 @register("content_matches", f'WITH {_LIKES} SELECT u AS "user", count(*) AS n, sum(item)::BIGINT AS items FROM fresh GROUP BY 1')
 def content_matches(spark, sf):
-    return _matches(spark, sf).groupBy("user").agg(F.count("*").alias("n"), F.sum("item").alias("items"))
+    return C.match_counts(_matches(spark, sf)[0])
 
 
 #: A nested value for each order, written alike in both dialects; strings hold braces, quotes and backslashes.
