@@ -9,6 +9,7 @@ from marlspring.operators import confidence as C
 from marlspring.operators import evaluation as M
 from marlspring.operators import retrieval as R
 from marlspring.operators.blocks import dense_blocks
+from marlspring.operators.ranking import best_texts, overlap_of
 from marlspring.operators.text import chunks
 from marlspring.plans.text import CHUNKS
 from marlspring.registry import register
@@ -43,12 +44,18 @@ def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def _keyword(spark, sf):
-    return R.bm25(table(spark, sf, "documents"), _queries(spark, sf))
+def _best(spark, sf, how, k):
+    """The k best documents of each question: qid, doc_id, score. They are few and used more than once, so they are kept."""
+    hits = best_texts(table(spark, sf, "documents"), _queries(spark, sf), how, k)
+    return hits.select("qid", "doc_id", (F.col("s") / 1e6).alias("score")).persist()
 
 
-def _vector(spark, sf):
-    return R.token_overlap(table(spark, sf, "documents"), _queries(spark, sf))
+def _keyword(spark, sf, k):
+    return _best(spark, sf, "bm25", k)
+
+
+def _vector(spark, sf, k):
+    return _best(spark, sf, "overlap", k)
 
 
 def _ranked(df, k, score="score"):
@@ -57,24 +64,24 @@ def _ranked(df, k, score="score"):
 
 @register("bm25_topk", f"WITH {SCORES}, {cut('c', 'bm', 10)} SELECT qid, doc_id, s AS score, rank FROM c")
 def bm25_topk(spark, sf):
-    return _ranked(_keyword(spark, sf), 10)
+    return _ranked(_keyword(spark, sf, 10), 10)
 
 
 @register("overlap_topk", f"WITH {SCORES}, {cut('c', 'ov', 10)} SELECT qid, doc_id, s AS score, rank FROM c")
 def overlap_topk(spark, sf):
-    return _ranked(_vector(spark, sf), 10)
+    return _ranked(_vector(spark, sf, 10), 10)
 
 
 @register("hybrid_search", f"WITH {SCORES}, {cut('vc', 'ov', 20)}, {cut('kc', 'bm', 20)}, {fused('0.7::DOUBLE')}, {cut('o', 'f', 10)} SELECT qid, doc_id, s AS score, rank FROM o")
 def hybrid_search(spark, sf):
     """The flagship: keyword and overlap scores fused, ten documents for each benchmark question."""
-    return R.search("hybrid", _vector(spark, sf), _keyword(spark, sf), 10)
+    return R.search("hybrid", _vector(spark, sf, 20), _keyword(spark, sf, 20), 10)
 
 
 @register("fusion_scores", f"WITH {SCORES}, {cut('vc', 'ov', 20)}, {cut('kc', 'bm', 20)}, {fused('0.5::DOUBLE')} SELECT qid, doc_id, {Q6.format('v')} AS vector_score, {Q6.format('k')} AS bm25_score, s AS score FROM f")
 def fusion_scores(spark, sf):
     c = lambda df: R.top_k(df.withColumn("score", q6(F.col("score")) / 1e6), 20)
-    f = R.fuse(c(_vector(spark, sf)), c(_keyword(spark, sf)), 0.5)
+    f = R.fuse(c(_vector(spark, sf, 20)), c(_keyword(spark, sf, 20)), 0.5)
     return f.select("qid", "doc_id", *[q6(F.col(n)).alias(n) for n in ("vector_score", "bm25_score", "score")])
 
 
@@ -88,13 +95,13 @@ def alpha_sweep(spark, sf):
     """Every alpha over the same two cut lists: a query and an alpha together are one query of the fusion."""
     alphas = F.explode(F.array(*[F.lit(a) for a in (0.3, 0.5, 0.7, 0.9)]))
     c = lambda df: R.top_k(df.withColumn("score", q6(F.col("score")) / 1e6), 20).withColumn("alpha", alphas).withColumn("qid", F.struct("qid", "alpha"))
-    f = R.fuse(c(_vector(spark, sf)), c(_keyword(spark, sf)), F.col("qid.alpha"))
+    f = R.fuse(c(_vector(spark, sf, 20)), c(_keyword(spark, sf, 20)), F.col("qid.alpha"))
     return _ranked(f, 5).groupBy(F.round(F.col("qid.alpha") * 10).cast("long").alias("alpha10")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 @register("plain_scores", f"WITH {SCORES}, {cut('c', 'bm', 10)} SELECT qid, doc_id, {Q6.format('CASE WHEN score <= 0 THEN 0 WHEN score > 1 THEN least(1.0, score / 10) ELSE score END')} AS score FROM c")
 def plain_scores(spark, sf):
-    return _ranked(_keyword(spark, sf), 10).select("qid", "doc_id", q6(R.plain_score(F.col("score") / 1e6)).alias("score"))
+    return _ranked(_keyword(spark, sf, 10), 10).select("qid", "doc_id", q6(R.plain_score(F.col("score") / 1e6)).alias("score"))
 
 
 @register(
@@ -103,9 +110,11 @@ def plain_scores(spark, sf):
     SELECT qid, doc_id, s AS score, rank FROM o""",
 )
 def rerank_combine(spark, sf):
-    ov = _vector(spark, sf).select("qid", "doc_id", (q6(F.col("score")) / 1e6).alias("rerank_score"))
-    scorer = lambda hits: hits.withColumn("score", q6(F.col("score")) / 1e6).join(ov, ["qid", "doc_id"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
-    return R.search("hybrid_rerank", _vector(spark, sf), _keyword(spark, sf), 10, scorer=scorer)
+    def scorer(hits):
+        ov = overlap_of(hits, table(spark, sf, "documents"), _queries(spark, sf)).select("qid", "doc_id", (q6(F.col("score")) / 1e6).alias("rerank_score"))
+        return hits.withColumn("score", q6(F.col("score")) / 1e6).join(ov, ["qid", "doc_id"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
+
+    return R.search("hybrid_rerank", _vector(spark, sf, 20), _keyword(spark, sf, 20), 10, scorer=scorer)
 
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -204,11 +213,12 @@ ch AS (SELECT *, s / 1e6 AS score, row_number() OVER (PARTITION BY qid ORDER BY
 
 def _chunk_hits(spark, sf, k=12):
     """The best chunks by token overlap: qid, question, doc_id, chunk_index, content, score, rank."""
-    c = chunks(table(spark, sf, "documents"))
-    key = F.struct("doc_id", "chunk_index")
-    o = R.token_overlap(c.select(key.alias("doc_id"), F.col("content").alias("text")), _queries(spark, sf)).select("qid", "doc_id.doc_id", "doc_id.chunk_index", q6(F.col("score")).alias("s"))
-    top = R.top_k(o, k, "s", tie=("doc_id", "chunk_index")).withColumn("score", F.col("s") / 1e6)
-    return top.join(c, ["doc_id", "chunk_index"]).join(_queries(spark, sf), "qid").select("qid", "question", "doc_id", "chunk_index", "content", "score", "rank")
+    d = table(spark, sf, "documents")
+    top = best_texts(chunks(d), _queries(spark, sf), "overlap", k, ("doc_id", "chunk_index"), "content").withColumn("score", F.col("s") / 1e6).persist()
+    # k hits a question are few; texts stay where they are read.
+    c = chunks(d.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi"))
+    hits = c.join(F.broadcast(top), ["doc_id", "chunk_index"]).join(_queries(spark, sf), "qid")
+    return hits.select("qid", "question", "doc_id", "chunk_index", "content", "score", "rank").persist()
 
 
 @register(
@@ -243,7 +253,8 @@ def combined_content(spark, sf):
 
 @register("neighbour_chunks", f"WITH {CHUNK_HITS} SELECT DISTINCT ch.qid, c.doc_id, c.chunk_index::BIGINT AS chunk_index FROM ch JOIN chunks c ON c.doc_id = ch.doc_id AND abs(c.chunk_index - ch.chunk_index) <= 1")
 def neighbour_chunks(spark, sf):
-    return R.neighbours(_chunk_hits(spark, sf), chunks(table(spark, sf, "documents"))).select("qid", "doc_id", "chunk_index")
+    hits, d = _chunk_hits(spark, sf), table(spark, sf, "documents")
+    return R.neighbours(hits, chunks(d.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi"))).select("qid", "doc_id", "chunk_index")
 
 
 CONF = rf"""{CHUNK_HITS}, x AS (SELECT *, list_distinct(regexp_extract_all(lower(question), '\S+')) AS asked, list_distinct(regexp_extract_all(lower(content), '\S+')) AS held, length(content) AS len FROM ch),
@@ -273,7 +284,7 @@ def simple_confidence(spark, sf):
     SELECT qid, doc_id FROM w WHERE NOT (sd > 0.5 * a) OR score >= least(greatest(a - 1.5 * sd, 0.06, 0.9 * lo), 0.5 * hi)""",
 )
 def adaptive_threshold(spark, sf):
-    return R.adaptive_threshold(_ranked(_keyword(spark, sf), 30).withColumn("score", F.col("score") / 1e6)).select("qid", "doc_id")
+    return R.adaptive_threshold(_ranked(_keyword(spark, sf, 30), 30).withColumn("score", F.col("score") / 1e6)).select("qid", "doc_id")
 
 
 @register(
