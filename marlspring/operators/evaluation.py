@@ -31,11 +31,15 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
         F.count("relevance").alias("judged"),
         F.count("*").alias("retrieved"),
     )
-    best = qrels.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("relevance"), "doc_id")))
-    ideal = best.groupBy("qid").agg(
-        F.count_if(F.col("relevance") > 0).alias("relevant"),
-        F.sum(F.when(F.col("place") <= k, (F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("idcg"),
-        F.sum(F.when((F.col("place") <= k) & (F.col("relevance") > 0), 1 / F.log2(F.col("place") + 1.0)).otherwise(0.0)).alias("ibdcg"),
+    # Which document comes first among equals changes no sum, so counts say the ideal order; no row is sorted.
+    counts = qrels.groupBy("qid", "relevance").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("relevance")))
+    counts = counts.withColumn("last", F.least(upto, F.lit(k))).withColumn("begin", F.least(upto - F.col("n"), F.lit(k)))
+    weight = F.aggregate(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda p: (p > F.col("begin")) & (p <= F.col("last"))), F.lit(0.0), lambda s, p: s + 1 / F.log2(p + 1.0))
+    ideal = counts.withColumn("weight", weight).groupBy("qid").agg(
+        F.sum(F.when(F.col("relevance") > 0, F.col("n")).otherwise(0)).alias("relevant"),
+        F.sum((F.pow(F.lit(2.0), F.col("relevance")) - 1) * F.col("weight")).alias("idcg"),
+        F.sum(F.when(F.col("relevance") > 0, F.col("weight")).otherwise(0.0)).alias("ibdcg"),
     )
     df = got.join(ideal, "qid", "left")
     some = F.col("relevant") > 0
