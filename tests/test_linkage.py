@@ -97,3 +97,53 @@ def test_query_takes_all_documents(spark, tmp_path):
     want = best([x for x in old if x[0] % 100 == 0], old)
     assert {400, 500} <= want.keys() and 600 not in want  # texts without lines refer to nothing
     assert {x.new_key: (x.old_key, x.score) for x in linkage.record_matches(spark, str(tmp_path)).collect()} == {k: (b, round(s * 1e6)) for k, (b, s) in want.items()}
+
+
+def test_two_records_of_one_key_hide_no_other_match(spark):
+    """Of the two best pairs kept, both were the record's own once its key had a second record."""
+    rows = [(1, "northwest find", "c", "p", "o", ["x"], None, 0), (1, "northwest finds", "c", "p", "o", ["x"], None, 0), (2, "northwest fin", "c", "p", "o", ["y"], None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.new_key: r.old_key for r in K.record_matches(df, df, "k").collect()} == {1: 2, 2: 1} == {k: b for k, (b, _) in best(rows, rows).items()}
+
+
+def test_pairs_stay_in_the_task_that_reads_them(spark):
+    """What leaves the tasks is two rows a new record at most; pairs that shared a gram were joined and shuffled before."""
+    rows = [(k, "the and of " + "".join(random.Random(k).sample("the and of ring", 15)), f"c{k % 3}", "p", "o", [], [], 0) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1).localCheckpoint()
+    group = "pairs-stay"
+    spark.sparkContext.setJobGroup(group, group)
+    found = K.record_matches(df.where("k % 10 = 0"), df, "k")
+    assert found.count() <= 30
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s)) <= 60
+
+
+@pytest.mark.parametrize("rows,block,pairs", [(512, 1024, 8192), (7, 5, 3)])
+def test_bounds_lose_no_match(rows, block, pairs, monkeypatch):
+    for name, value in (("ROWS", rows), ("BLOCK", block), ("PAIRS", pairs), ("TABLE", 4096 if rows > 7 else 1)):
+        monkeypatch.setattr(K, name, value)
+    r = random.Random(9)
+    clean = lambda x, k: {"key": k} | {c: (v or "unknown").strip().lower() for c, v in zip(K.SIGNALS, x[1:5])} | {c: sorted({hash(y.strip().lower()) for y in v or [] if y and y.strip()}) for c, v in zip(K.LISTS, x[5:7])}
+    old = list(records(21, 200)) + [(300 + i, r.choice("ab") * r.randint(150, 260) + "é\U0001f600 x" * i, "cm2", "chile", "mars", ["10.1/a"], [], 1) for i in range(12)]
+    new = [x for x in old if x[0] % 5 == 0]
+    asked = []
+    for x in new:
+        missing = [(x[i] or "unknown").strip().lower() in ("", "unknown") for i in (1, 2)]
+        w = [0.0 if missing[0] else 0.5, 0.0 if missing[1] else 0.2]
+        rest = 0.7 - sum(w)
+        asked.append(clean(x, str(x[0])) | dict(zip(("w_name", "w_class", "w_place", "w_references", "w_origin"), (*w, 0.15 + rest * 0.6, 0.15 + rest * 0.3, 0.05 + rest * 0.1))))
+    blocks = [K._Asked(asked[i : i + block], 0.8) for i in range(0, len(asked), block)]
+    held = [clean(x, x[0]) for x in old]
+    for i in range(0, len(held), rows):
+        for b in blocks:
+            b.meet(K._Some(held[i : i + rows]))
+    got = {}
+    for b in blocks:
+        for key, two in zip(b.keys, b.best):
+            others = [(-round(s, 6), k) for k, s in two.items() if k != int(key)]
+            if others:
+                got[int(key)] = (min(others)[1], -min(others)[0])
+    want = best(new, old)
+    assert len(want) > 10 and got == want
