@@ -10,8 +10,9 @@ Groups of the wrapper get roles. Names and marks say what is the article and wha
 a page names no article, the wrapper decides: a group whose text, over all pages of the host, is mostly
 linked is a menu, and a slot that holds the same text on more than half of a host's pages
 (``CONSTANT_PAGES`` at least) is template, not content. Pages with one longest text count as one there, so copies
-of an article don't make it a template. Every page is then matched with its host's wrapper; what the
-wrapper has never seen (none, as all pages are in it) would be judged by the page alone.
+of an article don't make it a template. Every page that names no article is then matched with its host's wrapper: a group
+that can be only one of the wrapper's is in a menu or not as that one is; groups that could be several are judged by their path, which
+these share; what the wrapper has never seen (none, as all pages are in it) would be judged by the page alone.
 
 Wrappers are a small table joined by host (Spark broadcasts it only if its written size allows, and
 splits hot hosts otherwise). No task gathers a host's pages: what meets by host are at most as many
@@ -80,6 +81,8 @@ _STOP = re.compile(r">|=\s*[\"']")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
+#: A group of a wrapper's expression opens, with what it holds itself, or ends.
+_GROUP = re.compile(r"<([^/>][^>]*)>(-?#?)|(</>)(?:\)(\+?)(\??))?")
 
 
 def _compound(name: str, words: list[str]) -> set[str]:
@@ -309,15 +312,29 @@ class Places:
 
 
 class Group:
-    """A node of a wrapper: an element, whether optional or repeated or a slot of text, and its groups in order."""
+    """A node of a wrapper: an element, whether optional or repeated or a slot of text, its groups in order, and the characters of its own texts, all and linked."""
 
-    __slots__ = ("groups", "key", "optional", "repeated", "slot")
+    __slots__ = ("chars", "groups", "into", "key", "linked", "menu", "optional", "repeated", "slot")
 
-    def __init__(self, key: str, optional: bool = False, repeated: bool = False, slot: bool = False, groups: list[Group] | None = None):
+    def __init__(self, key: str, optional: bool = False, repeated: bool = False, slot: bool = False, groups: list[Group] | None = None, chars: int = 0, linked: int = 0):
         self.key, self.optional, self.repeated, self.slot, self.groups = key, optional, repeated, slot, groups or []
+        self.chars, self.linked, self.menu = chars, linked, False
+        self.into: Group | None = None
+
+    def now(self) -> Group:
+        """The group that this one has become part of."""
+        g = self
+        while g.into is not None:
+            g = g.into
+        if g is not self:
+            self.into = g
+        return g
 
     def add(self, other: Group) -> None:
         """Aligns another occurrence of the element with this one."""
+        other.into = self
+        self.chars += other.chars
+        self.linked += other.linked
         self.slot |= other.slot
         self.repeated |= other.repeated
         self.optional |= other.optional
@@ -340,17 +357,42 @@ class Group:
             g.folded()
         self.groups = fold(self.groups)
 
+    def weigh(self, role: str = "open") -> tuple[int, int]:
+        """Marks groups that, with what is below them, are mostly linked as menus, where nothing names the article; gives their characters, all and linked."""
+        if role != "open":
+            return 0, 0
+        below = [g.weigh(_under(role, g.key)) for g in self.groups]
+        chars, linked = self.chars + sum(c for c, _ in below), self.linked + sum(n for _, n in below)
+        self.menu = linked > LINKED * chars
+        return chars, linked
+
     def expression(self) -> str:
-        inner = ("#" if self.slot else "") + "".join(g.expression() for g in self.groups)
+        """The group as a regular expression: ``#`` is a slot of text, ``-`` stands in a menu."""
+        inner = ("-" if self.menu else "") + ("#" if self.slot else "") + "".join(g.expression() for g in self.groups)
         whole = f"<{self.key}>{inner}</>"
         return f"({whole}){'+' if self.repeated else ''}{'?' if self.optional else ''}" if self.repeated or self.optional else whole
 
     def plain(self) -> list:
-        return [self.key, self.optional, self.repeated, self.slot, [g.plain() for g in self.groups]]
+        return [self.key, self.optional, self.repeated, self.slot, [g.plain() for g in self.groups], self.chars, self.linked]
 
     @staticmethod
     def of(plain: list) -> Group:
-        return Group(*plain[:4], [Group.of(g) for g in plain[4]])
+        return Group(*plain[:4], [Group.of(g) for g in plain[4]], *plain[5:])
+
+    @staticmethod
+    def read(expression: str) -> Group:
+        """The root of a wrapper from its expression."""
+        open_ = [Group("")]
+        for key, inner, end, repeated, optional in _GROUP.findall(expression):
+            if end:
+                g = open_.pop()
+                g.repeated, g.optional = bool(repeated), bool(optional)
+            else:
+                g = Group(key, slot="#" in inner)
+                g.menu = "-" in inner
+                open_[-1].groups.append(g)
+                open_.append(g)
+        return open_[0]
 
 
 def fold(groups: list[Group]) -> list[Group]:
@@ -369,9 +411,9 @@ def fold(groups: list[Group]) -> list[Group]:
     return out
 
 
-def page_wrapper(found: list[tuple[Element | None, str, int]]) -> Group:
-    """The wrapper that one page makes: its block elements as groups, its texts as slots."""
-    root = Group("")
+def page_wrapper(found: list[tuple[Element | None, str, int]]) -> tuple[Group, list[Group]]:
+    """The wrapper that one page makes: its block elements as groups, its texts as slots; and the group of each text (``now``)."""
+    root, slots = Group(""), []
     made: dict[Element, Group] = {}
     for element, _, _ in found:
         chain = []
@@ -384,8 +426,35 @@ def page_wrapper(found: list[tuple[Element | None, str, int]]) -> Group:
             g.groups.append(made[e])
             g = made[e]
         g.slot = True
+        slots.append(g)
     root.folded()
-    return root
+    return root, slots
+
+
+def in_menus(page: Group, wrapper: Group) -> dict[Group, bool]:
+    """Which groups of a page stand in a menu of the host's wrapper, for those that can be only one of its groups.
+
+    A page's groups keep the wrapper's order. Those of one key are known one by one where they are as many as the wrapper's, or as many as its
+    groups of that key that no page lacks.
+    """
+    out: dict[Group, bool] = {}
+    left = [(page, wrapper, False)]
+    while left:
+        mine, its, menu = left.pop()
+        out[mine] = menu = menu or its.menu
+        sides: list[dict[str, list[Group]]] = [{}, {}]
+        for side, g in zip(sides, (mine, its)):
+            for x in g.groups:
+                side.setdefault(x.key, []).append(x)
+        for key, some in sides[0].items():
+            like = sides[1].get(key, [])
+            if len(like) != len(some):
+                like = [x for x in like if not x.optional]
+            if len(like) == len(some):
+                left += [(a, b, menu) for a, b in zip(some, like)]
+            elif menu:
+                left += [(a, Group(key), True) for a in some]
+    return out
 
 
 class HostWrapper:
@@ -393,19 +462,26 @@ class HostWrapper:
 
     def __init__(self) -> None:
         self.root: Group | None = None
-        self.shapes: set[int] = set()
+        self.shapes: dict[int, list[Group]] = {}
         self.paths: dict[str, list] = {}
 
     def see(self, found: list[tuple[Element | None, str, int]], at: list[int], places: Places) -> None:
         """One more page; pages of a shape (runs of like paths count once) are aligned once."""
-        shape = hash(tuple(a for a, before in zip(at, [-1, *at]) if a != before))
+        begins = [i for i, (a, before) in enumerate(zip(at, [-1, *at])) if a != before]
+        shape = hash(tuple(at[i] for i in begins))
         if shape not in self.shapes:
-            self.shapes.add(shape)
-            self._align(page_wrapper(found))
-        for a, (_, text, linked) in zip(at, found):
+            root, slots = page_wrapper(found)
+            self._align(root)
+            self.shapes[shape] = [slots[i].now() for i in begins]
+        groups, run = self.shapes[shape], -1
+        for a, before, (_, text, linked) in zip(at, [-1, *at], found):
+            run += a != before
             told = self.paths.setdefault(places.path(a), [0, 0, places.role(a)])
+            group = groups[run].now()
             told[0] += len(text)
             told[1] += min(linked, len(text))
+            group.chars += len(text)
+            group.linked += min(linked, len(text))
 
     def _align(self, root: Group) -> None:
         if self.root is None:
@@ -447,7 +523,10 @@ def text_hash(text: str) -> int:
 
 
 def main_text(html: str | None, wrapper: dict | None) -> str:
-    """The texts of a page whose group is the article's, joined by blank lines; ``wrapper`` has roles by path and constant (path, hash) pairs."""
+    """The texts of a page whose group is the article's, joined by blank lines; ``wrapper`` has the host's groups, roles by path and constant (path, hash) pairs.
+
+    Whether a text stands in a menu its group decides, else its path (all groups of that path together), else the text alone.
+    """
     found = blocks(html or "")
     places, known = Places(), {}
     at = [places.of(e, known) for e, _, _ in found]
@@ -455,10 +534,14 @@ def main_text(html: str | None, wrapper: dict | None) -> str:
         return "\n\n".join(t for a, (_, t, _) in zip(at, found) if places.role(a) == "main")
     roles, constant = (wrapper["roles"], wrapper["constant"]) if wrapper else ({}, set())
     paths = {a: places.path(a) for a in set(at)}
+    page, slots = page_wrapper(found) if wrapper else (None, [None] * len(found))
+    known_menus = in_menus(page, wrapper["groups"]) if wrapper else {}
     kept = []
-    for a, (_, text, linked) in zip(at, found):
+    for a, slot, (_, text, linked) in zip(at, slots, found):
         path = paths[a]
-        menu = roles[path] == "aside" if path in roles else linked > LINKED * len(text)
+        menu = known_menus.get(slot.now()) if slot else None
+        if menu is None:
+            menu = roles[path] == "aside" if path in roles else linked > LINKED * len(text)
         if places.role(a) == "open" and not menu and (path, text_hash(text)) not in constant:
             kept.append(text)
     return "\n\n".join(kept)
@@ -519,6 +602,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         w = _merged(group)
+        w.root.weigh()
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps({"expression": "".join(g.expression() for g in w.root.groups), "roles": w.roles()})]})
 
     dealt = parts.where("wrapper IS NOT NULL").select("host", "wrapper", F.expr(f"pmod(xxhash64(wrapper), {SALTS})").alias("salt"))
@@ -548,8 +632,8 @@ def html_text(pages: DataFrame) -> DataFrame:
                     if host not in known:
                         if len(known) >= 1000:
                             known.clear()
-                        roles = json.loads(wrapper.as_py())["roles"] if wrapper.is_valid else {}
-                        known[host] = {"roles": roles, "constant": {(c["path"], c["text"]) for c in constant.as_py() or []}}
+                        told = json.loads(wrapper.as_py()) if wrapper.is_valid else {"roles": {}, "expression": ""}
+                        known[host] = {"roles": told["roles"], "groups": Group.read(told["expression"]), "constant": {(c["path"], c["text"]) for c in constant.as_py() or []}}
                     texts.append(main_text(page, known[host]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlspring.llm.common import shared_dir
 from marlspring.llm.hilbert import document_shards, hilbert_index
-from marlspring.llm.html import blocks, host_wrappers, html_text, main_text, page_wrapper
+from marlspring.llm.html import Group, blocks, host_wrappers, html_text, main_text, page_wrapper
 from marlspring.llm.token_files import read_token_files, token_crc, write_token_files
 from marlspring.llm.warc import candidates, read_payloads, read_warc, reachable, write_warc
 
@@ -216,6 +216,24 @@ def test_the_wrapper_decides_where_nothing_names_the_article(spark):
     assert found[99] == alone[99]  # a host of one page has no template text
 
 
+def test_groups_of_one_path_are_told_apart_by_the_wrapper(spark):
+    """A list of links is a menu by its place in the wrapper, though an article's texts have the same path; groups were judged by paths alone."""
+    rows, want = [], {}
+    for k in range(12):
+        links = "".join(f'<p><a href="/{k}/{j}">Story {k} {j} on things</a></p>' for j in range(6))
+        body = [f"Paragraph {j} of page {k}, with so many words of its own that it outweighs any list of links beside it" for j in range(1 + k % 3)]
+        tail = f"<h2>More {k}</h2>" if k % 4 == 0 else ""
+        rows.append((k, f"http://lists.example/{k}", f"<div>{links}</div><h2>Title {k}</h2><div>" + "".join(f"<p>{b}</p>" for b in body) + f"</div>{tail}"))
+        want[k] = "\n\n".join([f"Title {k}", *body, *([f"More {k}"] if tail else [])])
+    rows.append((50, "http://lists.example/50", "<h2>Title 50</h2><div><p>A page without its list</p></div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in html_text(df).collect()}
+    assert found == want | {50: "Title 50\n\nA page without its list"}
+    (r,) = host_wrappers(df.selectExpr("'h' AS host", "html")).collect()
+    expression = json.loads(r.wrapper)["expression"]
+    assert "".join(g.expression() for g in Group.read(expression).groups) == expression and "<div>-" in expression
+
+
 def test_deep_and_broken_pages_take_linear_time():
     began = time.perf_counter()
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000, None) == "deep"
