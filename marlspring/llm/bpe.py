@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marlspring.llm.common import slices, text_of
+from marlspring.llm.common import lean, slices, text_of
 
 #: The pre-tokenizer of byte-level BPE vocabularies, as published with them.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -267,6 +267,7 @@ def load(path: str) -> Bpe:
 def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in batches:
@@ -284,6 +285,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and the token ids of every whole text, as an array."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in batches:
@@ -297,6 +299,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
     """doc_id and the text of each array of ids; a null array gives a null text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = load(tokenizer_path).bytes_of
         for batch in batches:

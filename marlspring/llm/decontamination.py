@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspring.llm.common import numbered, passing_tables, slices, text_of, written
+from marlspring.llm.common import lean, numbered, passing_tables, slices, text_of, written
 from marlspring.llm.hashing import runs, word_hashes
 
 #: Words of a window and of a shingle.
@@ -51,6 +51,7 @@ def fold(text: str | None) -> bytes:
 def benchmark_shingles(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Each shingle of each item: item_id, t (a digest of the item's words), n (their number), p (the shingle's start), h, k, and at p = 0 the words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["item_id", "t", "n", "p", "h", "k", "words"]
         for batch in batches:
@@ -102,6 +103,7 @@ def _places(texts: list[bytes], sizes: list[int], bits: np.ndarray) -> tuple[np.
 def shingle_frequency(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
     """h, df: occurrences of the bitmap's shingles in all documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -127,6 +129,7 @@ def prefix_places(docs: DataFrame, sizes: list[int], bits, window: int = WINDOW)
     A row holds ``PLACES`` places at most; a document with more has further rows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         place = pa.struct([("pos", pa.int32()), ("h", pa.int64()), ("lo", pa.int32()), ("near", pa.list_(pa.string()))])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from marlspring.llm.common import slices
+from marlspring.llm.common import lean, slices
 
 #: Hashed features, and rows (in expectation) that weigh the bits.
 FEATURES = 1 << 13
@@ -108,6 +108,7 @@ def train(labelled: DataFrame) -> Model | None:
     """A model from the columns text and lang of all given rows (doc_id only deals out the calibration sample)."""
     rows = labelled.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
@@ -147,6 +148,7 @@ def _trust(sample: DataFrame, model: Model) -> np.ndarray:
     shared = sample.sparkSession.sparkContext.broadcast(model)
     width = model.code.shape[1]
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         right, seen = np.zeros(m.code.shape), np.zeros(len(m.languages))
@@ -176,6 +178,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, with_text: bool =
     kept = docs.select(F.col("text").cast("string").alias("text"), *keep)
     first = 0 if with_text else 1
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

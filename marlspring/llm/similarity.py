@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from marlspring.llm.common import arrow_rows, passing_tables, slices, text_of, written
+from marlspring.llm.common import arrow_rows, lean, passing_tables, slices, text_of, written
 from marlspring.llm.components import components
 from marlspring.llm.hashing import mix, runs, word_hashes
 
@@ -136,6 +136,7 @@ def allowed(a, b):
 def nodes(docs: DataFrame) -> DataFrame:
     """doc_id, n, key, bits of every document (kind 0), and the sketch of shingle frequencies in pieces (kind 1)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
         names = ["kind", "doc_id", "n", "key", "bits"]
@@ -157,6 +158,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 def summed_sketch(table: DataFrame) -> np.ndarray:
     """The frequency sketch over all documents: partitions are summed first, then pieces."""
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -319,6 +321,7 @@ def groups(docs: DataFrame, price, buckets: int) -> DataFrame:
     are whole where they meet, and groups with the same members become one, weighted.
     """
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -347,6 +350,7 @@ def groups(docs: DataFrame, price, buckets: int) -> DataFrame:
 
     names = ["bucket", "gid", "keys", "weight", "partial", "blob"]
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, keys = [], []
         for batch in batches:
@@ -379,6 +383,7 @@ def _salted(per_group: DataFrame) -> DataFrame:
 def member_sets(docs: DataFrame, wanted) -> DataFrame:
     """key, n, set (64-bit hashes) of the nodes whose key passes a bitmap of wanted keys; a few rows for each key."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -518,6 +523,7 @@ def _cross_pairs(members: DataFrame, known: DataFrame, nearest: bool = False) ->
     dealt = rows.select("gid", "key", "root", "n", "bits", earlier, "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("gid", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "root", "n", "bits", "named")
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
