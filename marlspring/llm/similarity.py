@@ -368,7 +368,8 @@ def groups(docs: DataFrame, price, buckets: int) -> DataFrame:
             yield _emitted(sig, key, start, length, np.isin(sig[start], parts))
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, gid long, keys array<long>, weight long, partial boolean, blob binary")
-    found = dealt.repartition(buckets, "bucket").mapInArrow(meet, "gid long, keys array<long>, weight long, partial boolean")
+    # Written, as whole groups and parts are both read from it and would each meet anew.
+    found = written(dealt.repartition(buckets, "bucket").mapInArrow(meet, "gid long, keys array<long>, weight long, partial boolean"))
     whole = found.where("NOT partial").groupBy("gid").agg(F.first("keys").alias("keys"), F.sum("weight").alias("weight"))
     member = whole.select("gid", F.explode("keys").alias("key"), "weight", F.lit(0).alias("salt"))
     part = found.where("partial").select("gid", F.explode("keys").alias("key"), "weight").distinct()
@@ -410,14 +411,14 @@ WANTED = 1 << 26
 
 
 def wanted_bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits set for the low bits of the keys, summed in rows of 4096 bits (16384 rows at most reach the driver)."""
-    rows = keys.select(F.expr(f"shiftright(key & {WANTED - 1}, 6)").alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    folded = rows.groupBy(F.expr("shiftright(at, 6)").alias("row")).agg(F.collect_list(F.struct(F.expr("cast(at & 63 as int)").alias("k"), "bits")).alias("words"))  # 64 words each
-    bits = np.zeros(WANTED // 64, np.int64)
-    for r in folded.toLocalIterator():
-        for w in r.words:
-            bits[(r.row << 6) + w.k] = w.bits
-    return bits.view(_U)
+    """Bits set for the low bits of the keys, summed in rows of 4096 bits (16384 rows at most reach the driver, in one job)."""
+    at = F.expr(f"shiftright(key & {WANTED - 1}, 6)")
+    bits = keys.select(at.alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"), F.shiftright(at, 6).alias("row"))
+    rows = bits.repartition("row").groupBy("row", "at").agg(F.bit_or("bit").alias("bits"))  # dealt out once for both sums
+    words = rows.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits")).toArrow()  # 64 words each
+    out = np.zeros(WANTED // 64, np.int64)
+    out[words.column("at").combine_chunks().flatten().to_numpy()] = words.column("bits").combine_chunks().flatten().to_numpy()
+    return out.view(_U)
 
 
 @F.pandas_udf(BooleanType())
