@@ -220,3 +220,17 @@ def test_infill_rates_empty_table_and_plan(spark, empty, documents):
     assert {r.form for r in fill_in_middle(documents, spm_rate=100).where("form <> 'plain'").collect()} == {"spm"}
     plan = infill_digests(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan.split("Scan")[0].replace("Exchange RoundRobin", "")
+
+
+def test_names_of_blocks_travel_without_their_bytes(spark, monkeypatch):
+    """Two of three rounds sort by names alone; blocks' bytes went through the shuffle and the tables of each, and of the last step."""
+    from marlspring.llm import suffixes
+
+    made, returned = [], suffixes._returned
+    monkeypatch.setattr(suffixes, "_returned", lambda blocks, *rest: made.append(blocks.columns) or returned(blocks, *rest))
+    rng = np.random.default_rng(5)
+    a, b = ("".join(chr(c) for c in rng.integers(97, 123, n)) for n in (150, 130))
+    rows = [(1, a + b), (2, "x" + b + "y"), (3, a[:120] + "z"), (4, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (280, 0, 0), 2: (132, 130, 1), 3: (121, 120, 1), 4: (0, 0, 0)}
+    assert ["buf" in c for c in made] == [False, False, True]
