@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlspring.operators import academic as A
@@ -10,8 +11,8 @@ from marlspring.operators import nested as J
 from marlspring.registry import register
 from marlspring.session import table
 
-#: Users asked for are those whose key is divisible by 100, against all items; a preference is a feature's share of the user's most frequent one.
-_LIKES = """b AS (SELECT o_custkey AS u, l_partkey AS item, p_brand, p_type FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 100 = 0),
+#: All users against all items; a preference is a feature's share of the user's most frequent one.
+_LIKES = """b AS (SELECT o_custkey AS u, l_partkey AS item, p_brand, p_type FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 f AS (SELECT u, feature, count(*) AS n FROM (SELECT u, p_brand AS feature FROM b UNION ALL SELECT u, p_type FROM b) GROUP BY 1, 2),
 likes AS (SELECT u, feature, n / (max(n) OVER (PARTITION BY u))::DOUBLE AS w FROM f),
 has AS (SELECT p_partkey AS item, p_brand AS feature, 1.0::DOUBLE AS v FROM part UNION ALL SELECT p_partkey, p_type, 0.25 + p_size / 100.0::DOUBLE FROM part),
@@ -20,19 +21,19 @@ fresh AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.u = m.u AND
 
 
 def _bought(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 100 = 0")
-    b = o.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return b.select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), "p_brand", "p_type")
+    o, i = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user")), table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"))
+    return o.join(i, F.col("o_orderkey") == F.col("l_orderkey")).select("user", "item")
 
 
-def _matches(spark, sf):
-    """Matches by kinds, and what was bought."""
-    b, p = _bought(spark, sf), table(spark, sf, "part")
-    n = b.select("user", F.explode(F.array("p_brand", "p_type")).alias("feature")).groupBy("user", "feature").agg(F.count("*").alias("n"))
-    most = n.groupBy("user").agg(F.max("n").alias("most"))
-    likes = n.join(most, "user").select("user", "feature", (F.col("n") / F.col("most")).alias("weight"))
-    has = p.select(F.col("p_partkey").alias("item"), F.explode(F.map_from_arrays(F.array("p_brand", "p_type"), F.array(F.lit(1.0), 0.25 + F.col("p_size") / 100.0))).alias("feature", "value"))
-    return C.Kinds(likes, has, b), b
+def _kinds(spark, sf):
+    """Preferences from what was bought, which lies by user once and is counted there, against all parts."""
+    b, p = _bought(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type", "p_size")
+    likes = b.join(p, "item").select("user", "p_brand", "p_type").repartition("user")
+    n = likes.select("user", F.explode(F.array("p_brand", "p_type")).alias("feature")).groupBy("user", "feature").agg(F.count("*").alias("n"))
+    likes = n.select("user", "feature", (F.col("n") / F.max("n").over(Window.partitionBy("user"))).alias("weight"))
+    of = lambda feature, value: F.struct(F.col(feature).alias("feature"), value.alias("value"))
+    has = p.select("item", F.inline(F.array(of("p_brand", F.lit(1.0)), of("p_type", 0.25 + F.col("p_size") / 100.0))))
+    return C.Kinds(likes, has, b)
 
 
 @register(
@@ -41,12 +42,12 @@ def _matches(spark, sf):
     SELECT u AS "user", item, similarity, row_number() OVER (PARTITION BY u ORDER BY similarity DESC, item) AS rank, n FROM q QUALIFY rank <= 10""",
 )
 def content_recommended(spark, sf):
-    return C.best_of_kinds(*_matches(spark, sf))
+    return C.best_of_kinds(_kinds(spark, sf))
 
 
 @register("content_matches", f'WITH {_LIKES} SELECT u AS "user", count(*) AS n, sum(item)::BIGINT AS items FROM fresh GROUP BY 1')
 def content_matches(spark, sf):
-    return C.match_counts(_matches(spark, sf)[0])
+    return C.match_counts(_kinds(spark, sf))
 
 
 #: A nested value for each order, written alike in both dialects; strings hold braces, quotes and backslashes.

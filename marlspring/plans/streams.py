@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from marlspring.operators.text import chunks
 from marlspring.plans.text import CHUNKS
 from marlspring.registry import register
-from marlspring.session import table
+from marlspring.session import scratch, table
 from marlspring.sources import files as S
 from marlspring.sources.files import Collection
 from marlspring.streaming import checkpoints as C
 from marlspring.streaming import jobs as J
 
-
-def scratch(spark) -> str:
-    """A new folder under spark.checkpoint.dir, or, where that is unset, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='marlspring-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 HOURLY = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5)::BIGINT AS cents FROM events GROUP BY 1, 2"
 
 
