@@ -234,3 +234,18 @@ def test_names_of_blocks_travel_without_their_bytes(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (280, 0, 0), 2: (132, 130, 1), 3: (121, 120, 1), 4: (0, 0, 0)}
     assert ["buf" in c for c in made] == [False, False, True]
+
+
+def test_blocks_and_runs_are_gone_before_the_last_sort(spark, monkeypatch):
+    """The last sort moves most; blocks' bytes lay on the disks twice meanwhile, and so did the runs behind what is kept of them."""
+    from marlspring.llm import suffixes
+
+    told, forget, sort = [], suffixes._forget, suffixes.sort
+    monkeypatch.setattr(suffixes, "_forget", lambda *tables: told.extend(t.columns for t in tables) or forget(*tables))
+    monkeypatch.setattr(suffixes, "sort", lambda *a: told.append("sort") or sort(*a))
+    text = "".join(chr(c) for c in np.random.default_rng(6).integers(97, 123, 300))
+    rows = [(1, text), (2, "x" + text[:140] + "y"), (3, text[90:] + "z")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (300, 0, 0), 2: (142, 140, 1), 3: (211, 210, 1)}
+    last = max(i for i, t in enumerate(told) if t == "sort")
+    assert told.count("sort") == 4 and any({"buf", "doc_id"} <= set(t) for t in told[:last]) and sum("c" in t for t in told[: told.index("sort")]) == 3
